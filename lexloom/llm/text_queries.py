@@ -1,9 +1,10 @@
-"""Queries on the shape of long texts: p6."""
+"""Queries on the shape of texts: p6 and p10."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.llm.spam import shape_pages, spam_pages
 from lexloom.llm.splitting import split_oversized
 from lexloom.sources.tables import table
 
@@ -25,5 +26,16 @@ def p6_pieces(spark, d):
     return _oversized(spark, d).select("source", "item_id", F.explode("pieces").alias("p")).select("source", "item_id", "p.*").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p10_found(spark, d):
+    """Documents that are for the greater part keyword spam, link lists or product tags."""
+    return spam_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id").where("doc_id is not null").distinct()
+
+
+def p10_shapes(spark, d):
+    """The shapes of the corpus: how many pages, segments and characters have each."""
+    pages = shape_pages(table(spark, d, "documents"), "doc_id", "text").select(F.explode("shapes").alias("s"))
+    return pages.groupBy("s.kind", "s.shape").agg(F.count("*").alias("pages"), F.sum("s.segments").alias("segments"), F.sum("s.chars").alias("chars"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}
 ORACLE: dict[str, str] = {}
