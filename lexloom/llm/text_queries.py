@@ -1,9 +1,10 @@
-"""Queries on the shape of texts: p6 and p10."""
+"""Queries on the shape of texts: p6, p7 and p10."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.llm.scans import line_findings, paragraphs
 from lexloom.llm.spam import shape_pages, spam_pages
 from lexloom.llm.splitting import split_oversized
 from lexloom.sources.tables import table
@@ -26,6 +27,16 @@ def p6_pieces(spark, d):
     return _oversized(spark, d).select("source", "item_id", F.explode("pieces").alias("p")).select("source", "item_id", "p.*").distinct()
 
 
+def p7_found(spark, d):
+    """Noisy lines of scanned texts by kind."""
+    return line_findings(table(spark, d, "ocr_result"), "ocr_id")
+
+
+def p7_paragraphs(spark, d):
+    """The repaired text of every scan."""
+    return paragraphs(table(spark, d, "ocr_result"), "ocr_id")
+
+
 def p10_found(spark, d):
     """Documents that are for the greater part keyword spam, link lists or product tags."""
     return spam_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id").where("doc_id is not null").distinct()
@@ -37,5 +48,5 @@ def p10_shapes(spark, d):
     return pages.groupBy("s.kind", "s.shape").agg(F.count("*").alias("pages"), F.sum("s.segments").alias("segments"), F.sum("s.chars").alias("chars"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}
+QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}
 ORACLE: dict[str, str] = {}
