@@ -1,4 +1,4 @@
-"""Queries on rankings and on texts that look the same: p3 and p4."""
+"""Queries on names and rankings: p3, p4 and p5."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.aggregate import aggregate_ranks
 from lexloom.llm.lookalike import consistent_forms, same_look_pairs
+from lexloom.llm.names import average_linkage, grams_of, link_names, similar_pairs
+from lexloom.session import materialize
 from lexloom.sources.tables import table
 
 SCORES = ["keyword", "semantic", "cross", "scope"]
@@ -32,5 +34,39 @@ def p4_found(spark, d):
     return p4_ranking(spark, d).where("position <= 5 and rho is not null").select("run_id", "indicator_id", "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_ranking": p4_ranking}
+def _mentions(spark, d):
+    ref = table(spark, d, "ref_row").select(
+        F.lit("ref").alias("source"), F.col("ref_id").alias("row_id"), F.lit(0).alias("pos"), "economy", F.col("law_name").alias("mention"), F.concat_ws(" ", "law_name", "law_number").alias("name")
+    )
+    label = table(spark, d, "label_row").select(F.lit("label").alias("source"), F.col("label_id").alias("row_id"), F.posexplode("laws").alias("pos", "mention"), "economy")
+    return ref.unionByName(label.select("source", "row_id", "pos", "economy", "mention", F.col("mention").alias("name"))).where("mention is not null")
+
+
+def _catalogue(spark, d):
+    law = table(spark, d, "corpus_law")
+    aka = F.from_json("catalogue_json", "aka array<string>")["aka"]
+    return law.select(F.col("law_id").alias("id"), F.col("economy").alias("scope"), "title", aka.alias("aliases"), F.col("law_number").alias("number"))
+
+
+def p5_found(spark, d):
+    """Mentions of laws as people typed them, linked to the catalogue's law, where they are not its very title."""
+    m = _mentions(spark, d)
+    links = link_names(m.select(F.col("economy").alias("scope"), "name"), _catalogue(spark, d))
+    title = table(spark, d, "corpus_law").select("law_id", "title")
+    linked = m.join(links.select(F.col("scope").alias("economy"), "name", F.col("id").alias("law_id")), ["economy", "name"]).join(title, "law_id")
+    return linked.where("mention <> title").select("source", "row_id", "pos", "law_id").distinct()
+
+
+def p5_clusters(spark, d):
+    """Spellings that mean no law of the catalogue, grouped by average linkage: (economy, name, cluster)."""
+    m = _mentions(spark, d).select(F.col("economy").alias("scope"), "name").where("scope is not null").distinct()
+    links = link_names(m, _catalogue(spark, d)).select("scope", "name")
+    rest = materialize(m.join(links, ["scope", "name"], "left_anti"), "p5-rest")
+    pairs = similar_pairs(grams_of(rest), 0.6)
+    node = F.concat("scope", F.lit(" "), "name")
+    joined = rest.withColumn("node", node).join(average_linkage(pairs, 0.6), "node", "left")
+    return joined.select(F.col("scope").alias("economy"), "name", F.coalesce("cluster", "node").alias("cluster"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_ranking": p4_ranking}
 ORACLE: dict[str, str] = {}
