@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["corpus_queries", "name_queries", "text_queries"]
+_MODULES = ["corpus_queries", "name_queries", "page_queries", "text_queries"]
 
 
 def query_modules() -> list:
