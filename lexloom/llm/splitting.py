@@ -118,6 +118,6 @@ def split_oversized(items: DataFrame, id_col: str, text_col: str, limit: int = 3
                 ids.append(i)
                 forced.append(int(has_long_stretch(t, limit)))
                 pieces.append([{"piece": k, "start": s, "new_from": n, "end": e, "forced_end": int(x), "text": t[s:e]} for k, (s, n, e, x) in enumerate(split_text(t, limit, overlap))])
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype=f.dtypes.iloc[0]), "forced": pd.Series(forced, dtype="int32"), "pieces": pieces})
+            yield pd.DataFrame({id_col: pd.Series(ids, dtype=f.dtypes.iloc[0]), "forced": pd.Series(forced, dtype="int32"), "pieces": pd.Series(pieces, dtype=object)})
 
     return items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).where(F.length("_text") > limit).mapInPandas(run, schema)
