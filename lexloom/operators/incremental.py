@@ -64,9 +64,8 @@ def replay_ledger(writes: DataFrame, runs: DataFrame, landed: str = "landed_at")
         .withColumn("_next_ok", F.first("_ok1", ignorenulls=True).over(w))
         .withColumn("_next_any", F.first("_any1", ignorenulls=True).over(w))
     )
-    ends = span.select("a", "b")
     at = F.col(f"`{landed}`")
-    keyed = writes.crossJoin(F.broadcast(ends)).withColumn("_day", F.greatest(F.to_date(at), F.col("a"))).drop("a", "b")  # one row
+    keyed = writes.withColumn("_day", F.greatest(F.to_date(at), span.select("a").scalar()))
     due = F.filter("_runs", lambda r: r["_at"] >= at)
     ok_today = F.filter(due, lambda r: r["_ok"])
     joined = (
