@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: A line that opens a provision, in the drafting conventions of the corpus. Java and RE2 read it alike.
 BOUNDARY = r"^\s*(?:Section [0-9]+[A-Z]?\.?|PART [0-9]+|Pasal [0-9]+|BAB [0-9]+|Điều [0-9]+|Chương [0-9]+|Статья [0-9]+|Глава [0-9]+|第[0-9]+条|[0-9]{1,3}[.\t ] ?\S|Q[0-9]+:)"
-DOC = Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def in_document() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no from 1, line, start): the lines of each text and where they start. Null texts have none."""
     split = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("i", "line"))
-    start = F.coalesce(F.sum(F.length("line") + 1).over(DOC.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(F.length("line") + 1).over(in_document().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return split.select("doc_id", (F.col("i") + 1).alias("line_no"), "line").withColumn("start", start)
 
 
@@ -28,7 +31,7 @@ def provisions(ln: DataFrame, least: int = 20) -> DataFrame:
     Segments shorter than `least` characters are dropped; a document without any boundary is one segment.
     """
     marked = ln.withColumn("open", F.col("line").rlike(BOUNDARY).cast("int"))
-    seg = marked.withColumn("segment", F.sum("open").over(DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    seg = marked.withColumn("segment", F.sum("open").over(in_document().rowsBetween(Window.unboundedPreceding, 0)))
     whole = seg.groupBy("doc_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"), F.min_by(F.when(F.col("open") == 1, F.trim("line")), "line_no").alias("label"))
     return whole.where(F.length(F.trim("text")) >= least).select("doc_id", "segment", "label", "text")
 
@@ -62,7 +65,7 @@ def trim_trailing(ln: DataFrame, furniture: str) -> DataFrame:
 
 def fill_forward(ln: DataFrame, pattern: str, name: str) -> DataFrame:
     """Adds the last line at or above that matches `pattern`."""
-    return ln.withColumn(name, F.last(F.when(F.col("line").rlike(pattern), F.trim("line")), ignorenulls=True).over(DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    return ln.withColumn(name, F.last(F.when(F.col("line").rlike(pattern), F.trim("line")), ignorenulls=True).over(in_document().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def asof(events: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:

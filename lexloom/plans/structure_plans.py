@@ -113,7 +113,7 @@ def next_boundary(spark, d):
 )
 def heading_lookback(spark, d):
     """Marginal headings: a short line without end mark right above a boundary."""
-    h = _lines(spark, d).withColumn("above", F.lag(F.trim("line")).over(S.DOC))
+    h = _lines(spark, d).withColumn("above", F.lag(F.trim("line")).over(S.in_document()))
     return h.where(F.col("line").rlike(S.BOUNDARY) & (F.col("above") != "") & (F.length("above") <= 60) & ~F.col("above").rlike("[.;:,]$")).select("doc_id", "line_no", "above")
 
 
