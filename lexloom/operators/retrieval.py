@@ -10,28 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.session import materialize, spread
+
 K1, B = 1.5, 0.75  # fixed values of the ranking function
 
 
-def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf) of documents."""
-    return docs.select(F.col(id_col), F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def tokenised(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """(id, tokens, dl): documents with at least one token, tokenised once and written to the shared folder."""
+    t = spread(docs).select(F.col(id_col), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    return materialize(t.withColumn("dl", F.size("tokens")), "tokens")
+
+
+def term_hits(docs: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of the tokens of `docs` (id, tokens, dl) that occur in `terms`: others drop out before the shuffle."""
+    one = docs.select(id_col, "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return one.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(tf: DataFrame, id_col: str, queries: DataFrame, query_col: str = "indicator_id") -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, queries: DataFrame, query_col: str = "indicator_id") -> DataFrame:
     """(query, id, bm25): sum over query terms, repeats counting, of ln(1 + (N - n + .5) / (n + .5)) · tf(k1 + 1) / (tf + k1(1 - b + b·dl/avgdl)).
 
-    `queries` has the query, term and qtf. Only terms that queries use are joined with their documents.
+    `docs` is as `tokenised` gives it, `queries` has the query, term and qtf. The texts are read once for their lengths
+    and once for the terms that queries use.
     """
-    length = tf.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    stats = length.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    used = queries.select("term").distinct()
-    hits = tf.join(used, "term", "left_semi")
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    hits = term_hits(docs, id_col, queries)
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     idf = F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.join(df, "term").join(length, id_col).join(queries, "term").groupBy(query_col, id_col).agg(F.sum(part).alias("bm25"))
+    return hits.join(df, "term").join(queries, "term").groupBy(query_col, id_col).agg(F.sum(part).alias("bm25"))
 
 
 def max_norm(scores: DataFrame, by: str, score: str) -> DataFrame:

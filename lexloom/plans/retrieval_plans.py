@@ -28,13 +28,13 @@ def _queries(spark, d):
     return r.select("indicator_id", F.explode(T.tokens(F.col("law_name"))).alias("term")).groupBy("indicator_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _tf(spark, d):
-    doc = table(spark, d, "documents")
-    return R.term_counts(doc.select("doc_id", "title", "text"), "doc_id", T.tokens(F.concat_ws(" ", "title", F.substring("text", 1, 2048))))
+def _tokenised(spark, d):
+    doc = table(spark, d, "documents").select("doc_id", "title", "text")
+    return R.tokenised(doc, "doc_id", T.tokens(F.concat_ws(" ", "title", F.substring("text", 1, 2048))))
 
 
 def _bm25(spark, d):
-    return R.bm25(_tf(spark, d), "doc_id", _queries(spark, d))
+    return R.bm25(_tokenised(spark, d), "doc_id", _queries(spark, d))
 
 
 BM25 = f"""q AS (SELECT indicator_id, term, count(*) AS qtf FROM (SELECT indicator_id, unnest({tokens_sql("law_name")}) AS term FROM ref_row WHERE law_name IS NOT NULL AND indicator_id IS NOT NULL) GROUP BY 1, 2),
@@ -112,7 +112,8 @@ def phrase_bonus(spark, d):
 )
 def sibling_penalty(spark, d):
     """What a document loses where a sibling of the indicator's pillar hits it with more terms. Per document there are at most as many rows as indicators."""
-    h = _tf(spark, d).join(_queries(spark, d), "term").groupBy("indicator_id", "doc_id").agg(F.count("*").alias("hits")).withColumn("pillar", F.substring_index("indicator_id", "-", 1))
+    q = _queries(spark, d)
+    h = R.term_hits(_tokenised(spark, d), "doc_id", q).join(q, "term").groupBy("indicator_id", "doc_id").agg(F.count("*").alias("hits")).withColumn("pillar", F.substring_index("indicator_id", "-", 1))
     a, b = h.alias("a"), h.alias("b")
     j = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.pillar") == F.col("b.pillar")) & (F.col("a.indicator_id") != F.col("b.indicator_id")))
     more = F.col("b.hits") - F.col("a.hits")
