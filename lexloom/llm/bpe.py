@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.session import spread
+
 #: Words whose ids a worker remembers between batches; beyond it the memory starts anew. It never changes a result.
 MEMORY = 300_000
 #: Symbols encoded in one go; bounds the memory of the merge rounds.
@@ -155,7 +157,7 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: tuple
     """(id, ids ARRAY<INT>) of each row, or (id, n_tokens INT) with `only_sizes`.
 
     No special tokens are added; strings that look like them are ordinary text. Empty and null texts have an empty
-    list (size 0). Rows are kept as they are, repeated ones too; a null id stays null. Narrow: no shuffle.
+    list (size 0). Rows are kept as they are, repeated ones too; a null id stays null. Narrow: no shuffle but the dealing out of a scan of few files.
     """
     path, pattern = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType
@@ -172,4 +174,4 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: tuple
                     value = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), value], names=[id_col, "n_tokens" if only_sizes else "ids"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.session import materialize
+from lexloom.session import materialize, spread
 
 #: States of a line: running head or foot, page number, start of a paragraph or heading, its continuation, blank.
 STATES = ("head", "number", "start", "more", "blank")
@@ -160,7 +160,7 @@ def train(scans: DataFrame, rounds: int = 1) -> Model:
 
     Only counts leave the executors; there are as many as kinds of symbols, whatever the number of pages.
     """
-    src = scans.select("pages", "text")
+    src = spread(scans.select("pages", "text"))
     model: Model | None = None
     for _ in range(rounds + 1):
         now = model
@@ -258,7 +258,7 @@ def read_lines(scans: DataFrame, id_col: str, model: Model) -> DataFrame:
                     out.append((key, numbers[p], n, states[i], line, words, compounds, cuts.get(i)))
             yield pd.DataFrame(out, columns=[id_col, "page", "line_no", "state", "text", "words", "compounds", "cut"])
 
-    return scans.select(F.col(f"`{id_col}`"), "pages", "text").mapInPandas(run, f"`{id_col}` {kind}, {LINES}")
+    return spread(scans.select(F.col(f"`{id_col}`"), "pages", "text")).mapInPandas(run, f"`{id_col}` {kind}, {LINES}")
 
 
 def corrections(counted: DataFrame, ratio: float = 4.0) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import spread
+
 URL = re.compile(r"https?://\S+|\b(?:[^\W_][\w-]*\.)+(?:example|com|net|org|info|biz|io)\b(?:/\S*)?", re.I)
 SEPARATOR = re.compile(r"\s+(?:[|·»•*/→~–—]|>>)\s+|\s{2,}|\t")
 COMMA = re.compile(r"\s*[,;，、；]\s*")
@@ -143,7 +145,7 @@ def shape_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 shapes.append([{"shape": s, "kind": k, "segments": n[s, k], "chars": c} for (s, k), c in chars.most_common()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64()), pa.array(shapes, struct)], names=[id_col, "share", "shapes"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
 def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6) -> DataFrame:
