@@ -69,4 +69,14 @@ def p5_clusters(spark, d):
 
 
 QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_ranking": p4_ranking}
-ORACLE: dict[str, str] = {}
+P4_SQL = """
+WITH one AS (SELECT run_id, indicator_id, doc_id, max(keyword) AS a, max(semantic) AS b, max("cross") AS c, max(scope) AS d FROM doc_rank GROUP BY 1, 2, 3),
+long AS (SELECT run_id, indicator_id, doc_id, unnest([a, b, c, d]) AS v, unnest([0, 1, 2, 3]) AS i FROM one),
+r AS (SELECT run_id, indicator_id, doc_id, (rank() OVER (PARTITION BY run_id, indicator_id, i ORDER BY v DESC) + (count(*) OVER (PARTITION BY run_id, indicator_id, i, v) - 1) / 2.0) / count(*) OVER (PARTITION BY run_id, indicator_id, i) AS r FROM long WHERE v IS NOT NULL),
+g AS (SELECT run_id, indicator_id, doc_id, list(r) AS h FROM r GROUP BY 1, 2, 3),
+f AS (SELECT *, list_sort(list_concat(h, list_transform(range(4 - len(h)), lambda q: list_avg(h)))) AS x FROM g),
+p AS (SELECT *, list_sort([round(1 - (1 - x[1]) ** 4, 9), round(6 * x[2] ** 2 * (1 - x[2]) ** 2 + 4 * x[2] ** 3 * (1 - x[2]) + x[2] ** 4, 9), round(4 * x[3] ** 3 * (1 - x[3]) + x[3] ** 4, 9), round(x[4] ** 4, 9)]) AS p FROM f)
+SELECT run_id, indicator_id, doc_id FROM p QUALIFY row_number() OVER (PARTITION BY run_id, indicator_id ORDER BY p, doc_id) <= 5
+"""
+
+ORACLE: dict[str, str] = {"p4_found": P4_SQL}

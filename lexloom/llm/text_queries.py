@@ -49,4 +49,11 @@ def p10_shapes(spark, d):
 
 
 QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}
-ORACLE: dict[str, str] = {}
+P6_SQL = r"""
+WITH j AS (SELECT DISTINCT provision_id, prov_json FROM provisions WHERE prov_json IS NOT NULL AND json_valid(prov_json)),
+o AS (SELECT provision_id, CASE json_type(prov_json) WHEN 'OBJECT' THEN prov_json WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(prov_json, '$')) THEN json_extract_string(prov_json, '$') END END AS rec FROM j),
+t AS (SELECT 'body' AS source, body_path AS item_id, body AS text FROM body_file UNION ALL SELECT 'provision', provision_id, json_extract_string(rec, '$.verbatim_snippet') FROM o WHERE rec IS NOT NULL AND provision_id IS NOT NULL)
+SELECT source, item_id, CAST(max(CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\v\f\x{85}\x{2028}\x{2029}]|[.!?]+\s|[。！？]+'), lambda s: length(s))) > 3000 THEN 1 ELSE 0 END) AS INT) AS forced FROM t WHERE length(text) > 3000 GROUP BY 1, 2
+"""
+
+ORACLE: dict[str, str] = {"p6_found": P6_SQL}
