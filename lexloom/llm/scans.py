@@ -155,12 +155,31 @@ def _pages(pages, text) -> tuple[list[int], list[str | None], bool]:
     return [0], [text], False
 
 
-def train(scans: DataFrame, rounds: int = 1) -> Model:
+FEATURED = "lines array<struct<p: int, page: int, n: int, text: string, symbol: string, seed: string>>"
+
+
+def featured_lines(scans: DataFrame, id_col: str) -> DataFrame:
+    """(id, lines) of each result: its lines with page index, page, number, text, symbol and seed state; found once and written."""
+    kind = scans.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for pages, text in zip(f["pages"], f["text"]):
+                numbers, texts, paged = _pages(pages, text)
+                rows = line_features(texts, paged) if paged or text else []
+                out.append([{"p": p, "page": numbers[p], "n": n, "text": t, "symbol": w, "seed": s} for p, n, t, w, s in rows])
+            yield pd.DataFrame({id_col: f.iloc[:, 0], "lines": pd.Series(out, dtype=object, index=f.index)})
+
+    return materialize(spread(scans.select(F.col(f"`{id_col}`"), "pages", "text")).mapInPandas(run, f"`{id_col}` {kind}, {FEATURED}"), "p7-features")
+
+
+def train(featured: DataFrame, rounds: int = 1) -> Model:
     """The line model, fitted on all lines: first from the rules' states, then from its own best paths.
 
     Only counts leave the executors; there are as many as kinds of symbols, whatever the number of pages.
     """
-    src = spread(scans.select("pages", "text"))
+    src = featured.select(F.transform("lines", lambda x: F.struct(x["p"].alias("p"), x["symbol"].alias("symbol"), x["seed"].alias("seed"))).alias("lines"))
     model: Model | None = None
     for _ in range(rounds + 1):
         now = model
@@ -168,13 +187,11 @@ def train(scans: DataFrame, rounds: int = 1) -> Model:
         def run(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             for f in frames:
                 total: Counter = Counter()
-                for pages, text in zip(f["pages"], f["text"]):
-                    _, texts, paged = _pages(pages, text)
-                    rows = line_features(texts, paged)
-                    states = [r[4] for r in rows] if now is None else _decode(rows, now)
+                for lines in f["lines"]:
+                    states = [x["seed"] for x in lines] if now is None else _decode([x["p"] for x in lines], [x["symbol"] for x in lines], now)
                     by: dict[int, list] = defaultdict(list)
-                    for r, s in zip(rows, states):
-                        by[r[0]].append((s, r[3]))
+                    for x, s in zip(lines, states):
+                        by[x["p"]].append((s, x["symbol"]))
                     total += count_model(by.values())
                 yield pd.DataFrame([(k, s, w, float(n)) for (k, s, w), n in total.items()], columns=["k", "s", "w", "n"])
 
@@ -183,13 +200,14 @@ def train(scans: DataFrame, rounds: int = 1) -> Model:
     return model
 
 
-def _decode(rows, model: Model) -> list[str]:
+def _decode(pages: list[int], symbols: list[str], model: Model) -> list[str]:
+    """The likeliest state of each line, page by page."""
     by: dict[int, list[int]] = defaultdict(list)
-    for i, r in enumerate(rows):
-        by[r[0]].append(i)
-    out = [""] * len(rows)
+    for i, p in enumerate(pages):
+        by[p].append(i)
+    out = [""] * len(pages)
     for where in by.values():
-        for i, s in zip(where, viterbi([rows[i][3] for i in where], model)):
+        for i, s in zip(where, viterbi([symbols[i] for i in where], model)):
             out[i] = s
     return out
 
@@ -219,24 +237,21 @@ LINES = (
 )
 
 
-def read_lines(scans: DataFrame, id_col: str, model: Model) -> DataFrame:
+def read_lines(featured: DataFrame, id_col: str, model: Model) -> DataFrame:
     """One row for each line: (id, page, line_no, state, text, words, compounds, cut).
 
     `words` are the whole words of a line that is neither head nor number, without a word cut at its ends; `compounds`
     are words with a hyphen of their own within the line; `cut` tells of a word cut at the end: its mark, its halves
     and the line of the second half, which may follow on another page after heads, numbers and blank lines.
     """
-    kind = scans.schema[id_col].dataType.simpleString()
+    kind = featured.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for key, pages, text in zip(f.iloc[:, 0], f["pages"], f["text"]):
-                numbers, texts, paged = _pages(pages, text)
-                if not paged and not text:
-                    continue
-                rows = line_features(texts, paged)
-                states = _decode(rows, model)
+            for key, lines in zip(f.iloc[:, 0], f["lines"]):
+                rows = [(x["page"], x["n"], x["text"]) for x in lines]
+                states = _decode([x["p"] for x in lines], [x["symbol"] for x in lines], model)
                 body = [i for i, s in enumerate(states) if s in ("start", "more")]
                 taken: dict[int, int] = {}
                 cuts: dict[int, dict] = {}
@@ -244,9 +259,9 @@ def read_lines(scans: DataFrame, id_col: str, model: Model) -> DataFrame:
                     x, y = rows[a][2].rstrip(), rows[b][2].strip()
                     if x and x[-1] in CUT and (m := re.search(r"(\S+)$", x[:-1])) and y and y[0].isalpha() and m[1][-1].isalpha():
                         right = re.match(r"\S+", y)[0]
-                        cuts[a] = {"mark": x[-1], "left": m[1].lower().lstrip(_STRIP + "("), "right": right.lower().rstrip(_STRIP + ")"), "page": numbers[rows[b][0]], "line_no": rows[b][1]}
+                        cuts[a] = {"mark": x[-1], "left": m[1].lower().lstrip(_STRIP + "("), "right": right.lower().rstrip(_STRIP + ")"), "page": rows[b][0], "line_no": rows[b][1]}
                         taken[b] = len(right)
-                for i, (p, n, line, _, _) in enumerate(rows):
+                for i, (page, n, line) in enumerate(rows):
                     words: list[str] = []
                     compounds: list[str] = []
                     if states[i] in ("start", "more"):
@@ -255,10 +270,10 @@ def read_lines(scans: DataFrame, id_col: str, model: Model) -> DataFrame:
                             s = re.sub(r"\S+$", "", s.rstrip())
                         words = _tokens(s)
                         compounds = [t for t in (w.strip(_STRIP + "()") for w in s.lower().split()) if re.fullmatch("[^\\W\\d_]+(?:[-\u2010\u2011][^\\W\\d_]+)+", t)]
-                    out.append((key, numbers[p], n, states[i], line, words, compounds, cuts.get(i)))
+                    out.append((key, page, n, states[i], line, words, compounds, cuts.get(i)))
             yield pd.DataFrame(out, columns=[id_col, "page", "line_no", "state", "text", "words", "compounds", "cut"])
 
-    return spread(scans.select(F.col(f"`{id_col}`"), "pages", "text")).mapInPandas(run, f"`{id_col}` {kind}, {LINES}")
+    return featured.select(F.col(f"`{id_col}`"), "lines").mapInPandas(run, f"`{id_col}` {kind}, {LINES}")
 
 
 def corrections(counted: DataFrame, ratio: float = 4.0) -> DataFrame:
@@ -301,7 +316,8 @@ def read_scans(scans: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, Dat
     lines as `read_lines`; cuts has (id, page, line_no, joined); misread has (id, page, line_no, word, right).
     Null and empty texts and blank pages have no findings; if `pages` is null or empty the text is page 0.
     """
-    lines = materialize(read_lines(scans, id_col, train(scans)), "p7-lines")
+    featured = featured_lines(scans, id_col)
+    lines = materialize(read_lines(featured, id_col, train(featured)), "p7-lines")
     compounds = lines.select(F.explode("compounds").alias("c")).groupBy("c").count().where("count >= 2").select("c", F.col("count").alias("n_own"))
     inside = lines.select(id_col, "page", "line_no", F.explode("words").alias("word"), F.lit(None).cast("int").alias("left"), F.lit(None).cast("struct<page:int,line_no:int>").alias("next"))
     plain = inside.groupBy("word").agg(F.count("*").alias("n"))
