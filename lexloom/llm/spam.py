@@ -95,7 +95,7 @@ def page_shapes(text: str | None) -> tuple[float, list[tuple[str, str, int]]]:
     found: list[tuple[str, str, int, list[str]]] = []
     for seg, led in _segments(text or ""):
         kind, links, w = _kind(seg, led)
-        caps = sum(c.isupper() for c in seg)
+        caps = sum(map(str.isupper, seg))
         shape = f"{_bucket(len(w))} words, {'all' if caps * 2 > len(seg) else 'some' if caps > 1 else 'few'} capitals, {'separated' if SEPARATOR.search(seg) else 'plain'}, {_bucket(links)} links"
         found.append((shape, kind, len(seg), w))
     total = sum(n for _, _, n, _ in found)
