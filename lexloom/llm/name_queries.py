@@ -62,9 +62,10 @@ def p5_clusters(spark, d):
     m = _mentions(spark, d).select(F.col("economy").alias("scope"), "name").where("scope is not null").distinct()
     links = link_names(m, _catalogue(spark, d)).select("scope", "name")
     rest = materialize(m.join(links, ["scope", "name"], "left_anti"), "p5-rest")
-    pairs = similar_pairs(grams_of(rest), 0.6)
     node = F.concat("scope", F.lit(" "), "name")
-    joined = rest.withColumn("node", node).join(average_linkage(pairs, 0.6), "node", "left")
+    grams = grams_of(rest)
+    groups = average_linkage(similar_pairs(grams, 0.6), 0.6, grams.select(node.alias("node"), "year"))
+    joined = rest.withColumn("node", node).join(groups, "node", "left")
     return joined.select(F.col("scope").alias("economy"), "name", F.coalesce("cluster", "node").alias("cluster"))
 
 

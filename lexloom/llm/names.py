@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -313,48 +313,61 @@ def grams_of(names: DataFrame) -> DataFrame:
     return materialize(names.mapInPandas(parse, "scope string, name string, year int, grams array<string>"), "grams")
 
 
-def similar_pairs(names: DataFrame, least: float, frequent: float = 0.2) -> DataFrame:
-    """(a, b, s): pairs of names of one scope and year whose weighted n-grams have a cosine of at least `least`, a < b.
+def years_agree(a: Column, b: Column) -> Column:
+    """Whether two names' years can be one: the same, one of them missing (0), or a year whose century is open (-1 - its two digits) and a full one."""
+    fits = lambda x, y: (x < 0) & (y > 0) & (y % 100 == -x - 1)
+    return (a == b) | (a == 0) | (b == 0) | fits(a, b) | fits(b, a)
 
-    A pair is looked for through the n-grams that at most a `frequent` share of a block's names have; all n-grams
-    count in the cosine, which is then computed for the pairs found. Names that share only frequent n-grams can't
-    reach `least` unless nearly all their n-grams are frequent.
+
+def similar_pairs(names: DataFrame, least: float) -> DataFrame:
+    """(a, b, s): pairs of names of one scope and of years that agree whose weighted n-grams have a cosine of at least `least`, a < b.
+
+    Exact: a vector's n-grams stand in one order, rarest first, and only the longest tail whose norm is under `least`
+    isn't joined on. The first n-gram that a pair shares is in both heads if the pair reaches `least`, as otherwise all
+    they share lies in a tail. Similarities count all n-grams.
     """
-    block = names.select(F.concat_ws(" ", "scope", "year").alias("scope"), F.concat_ws(" ", "scope", "name").alias("l"), "grams")
+    block = names.select("scope", F.concat_ws(" ", "scope", "name").alias("l"), "year", "grams")
     size = block.groupBy("scope").agg(F.count("*").alias("all"))
     df = block.select("scope", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("scope", "gram").agg(F.count("*").alias("df"))
-    idf = materialize(df.join(size, "scope").select("scope", "gram", (F.log((F.col("all") + 1) / F.col("df")) + 0.1).alias("idf"), (F.col("df") > F.greatest(F.lit(2), F.col("all") * frequent)).alias("often")), "idf")
-    w = materialize(weighted_grams(block, ["l"], idf.select("scope", "gram", "idf")), "vectors")
-    rare = w.join(idf.where("not often").select("scope", "gram"), ["scope", "gram"], "left_semi")
-    found = rare.alias("p").join(rare.alias("q"), ["scope", "gram"]).where("p.l < q.l").select("scope", F.col("p.l").alias("a"), F.col("q.l").alias("b")).distinct()
+    idf = materialize(df.join(size, "scope").select("scope", "gram", "df", (F.log((F.col("all") + 1) / F.col("df")) + 0.1).alias("idf")), "idf")
+    w = materialize(weighted_grams(block, ["l", "year"], idf.drop("df")), "vectors")
+    tail = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("scope", "l").orderBy(F.desc("df"), F.desc("gram")))
+    head = materialize(w.join(idf.select("scope", "gram", "df"), ["scope", "gram"]).withColumn("tail", tail).where(F.col("tail") >= least * least - 1e-9).select("scope", "gram", "l", "year"), "heads")
+    p, q = head.alias("p"), head.alias("q")
+    found = p.join(q, ["scope", "gram"]).where((F.col("p.l") < F.col("q.l")) & years_agree(F.col("p.year"), F.col("q.year"))).select("scope", F.col("p.l").alias("a"), F.col("q.l").alias("b")).distinct()
     full = found.join(w.select("scope", F.col("l").alias("a"), "gram", F.col("w").alias("wa")), ["scope", "a"]).join(w.select("scope", F.col("l").alias("b"), "gram", F.col("w").alias("wb")), ["scope", "b", "gram"])
     return full.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).where(F.col("s") >= least)
 
 
-def average_linkage(pairs: DataFrame, least: float, rounds: int = 30) -> DataFrame:
+def average_linkage(pairs: DataFrame, least: float, years: DataFrame | None = None) -> DataFrame:
     """(node, cluster): average-linkage clusters of nodes from sparse similarities (a, b, s) with a < b; missing pairs are 0.
 
     In each round every two clusters that are each other's nearest, at an average similarity of at least `least`, merge:
     for average linkage this gives the same tree as merging one pair at a time. Each round is joins and sums over the
     table of pairs between clusters, written to the shared folder; nothing is gathered on the driver but a count.
-    Ties go to the smaller name. Nodes without a partner are clusters of their own.
+    Rounds go on until none merges. Ties go to the smaller name. Nodes without a partner are clusters of their own.
+    With `years` (node, year) clusters whose years don't agree never merge, so a name without a year can't draw two
+    years together; a cluster has the year that its members have.
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    member = materialize(nodes.select("node", F.col("node").alias("cluster")), "members")
+    dated = nodes.join(years, "node", "left").fillna(0, "year") if years is not None else nodes.withColumn("year", F.lit(0))
+    member = materialize(dated.select("node", "year", F.col("node").alias("cluster")), "members")
     sums = materialize(pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s")), "sums")
-    for _ in range(rounds):
-        size = member.groupBy("cluster").agg(F.count("*").alias("n"))
+    while True:
+        # a full year is more than an open century's and than none: 0 gives way to either
+        year = F.coalesce(F.max(F.when(F.col("year") > 0, F.col("year"))), F.min("year"))
+        size = member.groupBy("cluster").agg(F.count("*").alias("n"), year.alias("y"))
         avg = (
-            sums.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-            .withColumn("v", F.round(F.col("s") / (F.col("na") * F.col("nb")), 9)).where(F.col("v") >= least)
+            sums.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na"), F.col("y").alias("ya")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb"), F.col("y").alias("yb")), "b")
+            .withColumn("v", F.round(F.col("s") / (F.col("na") * F.col("nb")), 9)).where((F.col("v") >= least) & years_agree(F.col("ya"), F.col("yb")))
         )
         both = avg.select(F.col("a").alias("x"), F.col("b").alias("y"), "v").union(avg.select("b", "a", "v"))
         near = both.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("y"))
         merge = materialize(near.alias("p").join(near.alias("q"), (F.col("p.y") == F.col("q.x")) & (F.col("q.y") == F.col("p.x"))).where("p.x < p.y").select(F.col("p.y").alias("old"), F.col("p.x").alias("new")), "merges")
         if merge.limit(1).count() == 0:
             break
-        member = materialize(member.join(merge, member.cluster == merge.old, "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "members")
+        member = materialize(member.join(merge, member.cluster == merge.old, "left").select("node", "year", F.coalesce("new", "cluster").alias("cluster")), "members")
         to = lambda c, side: F.coalesce(F.col(f"{side}.new"), F.col(c))
         moved = sums.join(merge.alias("l"), sums.a == F.col("l.old"), "left").join(merge.alias("r"), sums.b == F.col("r.old"), "left").select(to("a", "l").alias("a"), to("b", "r").alias("b"), "s").where("a <> b")
         sums = materialize(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), "sums")
-    return member
+    return member.select("node", "cluster")
