@@ -30,7 +30,7 @@ def _queries(spark, d):
 
 def _tokenised(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "title", "text")
-    return R.tokenised(doc, "doc_id", T.tokens(F.concat_ws(" ", "title", F.substring("text", 1, 2048))))
+    return R.tokenised(doc, "doc_id", T.tokens(F.concat_ws(" ", "title", "text")))
 
 
 def _bm25(spark, d):
