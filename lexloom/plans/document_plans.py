@@ -68,8 +68,8 @@ def truncated_title(spark, d):
     SELECT doc_id, arg_max(line, struct_pack(s := score, n := -line_no)) AS law_name FROM s WHERE score >= 3 GROUP BY 1"""
 )
 def law_name_recovery(spark, d):
-    """The line of a document's head that looks most like the name of a law, the earlier of equals."""
-    ln = _lines(spark, d).where("line_no <= 12").withColumn("t", F.trim("line"))
+    """The line of a document that looks most like the name of a law, the earlier of equals."""
+    ln = _lines(spark, d).withColumn("t", F.trim("line"))
     n = lambda c: c.cast("int")
     score = n(F.col("line").rlike("(?:Act|Code|Rules|Regulations|Ordinance|Undang|Peraturan|Luật|Nghị|Закон|Положение|法|条例|办法)")) * 2 + n(F.col("line").rlike("(?:1[89]|20)[0-9][0-9]")) + n(F.length("t").between(8, 90)) - n(F.col("t").rlike("[.;:。]$")) * 2
     return ln.withColumn("score", score).where("score >= 3").groupBy("doc_id").agg(F.max_by("t", F.struct("score", -F.col("line_no"))).alias("law_name"))
