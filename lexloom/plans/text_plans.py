@@ -233,9 +233,9 @@ def json_props(spark, d):
     WHERE regexp_matches(r.law_name, '^[ -~]+$') AND regexp_matches(t.law_label, '^[ -~]+$')"""
 )
 def cer_levenshtein(spark, d):
-    """Character error rate of labels against the names of their workbook and indicator, ASCII names."""
-    r = table(spark, d, "ref_row").where(F.col("law_name").rlike("^[ -~]+$")).select("workbook_id", "indicator_id", "ref_id", "law_name")
-    t = table(spark, d, "trace_target").where(F.col("law_label").rlike("^[ -~]+$")).select("workbook_id", "indicator_id", "target_id", "law_label")
+    """Character error rate of labels against the names of their workbook and indicator, by characters of any script."""
+    r = table(spark, d, "ref_row").where("law_name is not null").select("workbook_id", "indicator_id", "ref_id", "law_name")
+    t = table(spark, d, "trace_target").where("law_label is not null").select("workbook_id", "indicator_id", "target_id", "law_label")
     cer = F.levenshtein(F.lower("law_name"), F.lower("law_label")) / F.greatest(F.length("law_name"), F.lit(1))
     return r.join(t, ["workbook_id", "indicator_id"]).select("ref_id", "target_id", F.round(cer, 4).alias("cer"))
 
