@@ -6,6 +6,8 @@ queries meet documents in an equi-join on terms, never pair by pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,39 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 4096, query_block: int = 512) -> DataFrame:
+    """(qid, vec_id, dense): for each of `queries` the `k` rows of the highest (cosine + 1) / 2, rounded to 7 places, itself aside, ties to the smaller id.
+
+    Both have vec_id and embedding. They are dealt into blocks by their ids' hash, and each block of rows meets each
+    block of queries in one task, which keeps its `k` best a query: what a task holds does not grow with the data.
+    A null vector, or one without a length, has no cosine.
+    """
+    def blocks(df: DataFrame, size: int, ident: str, vector: str, block: str) -> tuple[DataFrame, int]:
+        df = df.where("vec_id is not null and embedding is not null")
+        n = max(1, -(-df.count() // size))
+        return df.select(F.col("vec_id").alias(ident), F.col("embedding").alias(vector), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(block)), n
+
+    (a, na), (b, nb) = blocks(rows, row_block, "vec_id", "m", "rb"), blocks(queries, query_block, "qid", "v", "qb2")
+    a = a.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    b = b.withColumn("rb2", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+
+    def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(q):
+            m, v = (np.array(c.tolist(), dtype="float64") for c in (x["m"], q["v"]))
+            ids = x["vec_id"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (v @ m.T / np.sqrt(np.outer((v * v).sum(1), (m * m).sum(1))) + 1) / 2
+            for qid, row in zip(q["qid"], s):
+                use = np.flatnonzero((ids != qid) & np.isfinite(row))
+                for i in use[np.lexsort((ids[use], -np.round(row[use], 7)))[:k]]:
+                    out.append((qid, ids[i], row[i]))
+        return pd.DataFrame(out, columns=["qid", "vec_id", "dense"])
+
+    part = a.groupBy("rb", "qb").cogroup(b.groupBy("rb2", "qb2")).applyInPandas(best, "qid long, vec_id long, dense double")
+    return top_k(part, ["qid"], [F.desc(F.round("dense", 7)), "vec_id"], k)
+
+
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first `k` rows of each group; plans as a group limit before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

@@ -62,12 +62,9 @@ COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
     SELECT qid, vec_id, rank, round(dense, 5) AS dense FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dense, 7) DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 )
 def dense_cosine_topk(spark, d):
-    """Ten nearest vectors of each label's first vector: the query vectors travel as one array of the ten labels."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).agg(F.collect_list(F.struct("label", "q")).alias("qs"))  # one row, a vector for each label
-    pairs = e.select("vec_id", "embedding", F.explode(q.select("qs").scalar()).alias("q"))
-    s = pairs.where(F.col("vec_id") != F.col("q.q.vec_id")).select(F.col("q.label").alias("qid"), "vec_id", ((R.cosine(F.col("embedding"), F.col("q.q.embedding")) + 1) / 2).alias("dense"))
-    return R.top_k(s, ["qid"], [F.desc(F.round("dense", 7)), "vec_id"], 10).select("qid", "vec_id", "rank", F.round("dense", 5).alias("dense"))
+    """Ten nearest vectors of every vector whose id is divisible by 20."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return R.nearest(e, e.where("vec_id % 20 = 0"), 10).select("qid", "vec_id", "rank", F.round("dense", 5).alias("dense"))
 
 
 def _dedup_ranks(spark, d):
