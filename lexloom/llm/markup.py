@@ -8,6 +8,7 @@ classes nested in each other's order make up the template, and what they leave o
 from __future__ import annotations
 
 import codecs
+import hashlib
 import html
 import re
 from collections import Counter
@@ -94,24 +95,29 @@ class _Page(HTMLParser):
         self.parts: list[list] = []  # [kind, level, text pieces, hidden by the template so far]
         self.open: list[tuple[int, int]] = []  # depth of stack, index in parts
         self.run: list[str] = []
+        self.run_known = True  # whether the template has all pieces of the run so far
         self.tokens: Counter = Counter()
         self.lists = 0
 
     # -- structure
     def _flush(self) -> None:
-        text = "".join(self.run)
-        self.run = []
+        text, known = "".join(self.run), self.run_known
+        self.run, self.run_known = [], True
         for f in formulas(text):
             self.parts.append(["formula", 0, [f], False])
         text = " ".join(text.split())
         if text and not self.open:
-            self.parts.append(["text", 0, [text], self._known(text)])
+            self.parts.append(["text", 0, [text], known or self._known(text)])
 
     def _path(self) -> str:
         return ">".join(t for t, _ in self.stack[-4:])
 
+    def _token(self, text: str) -> str:
+        whole = text if len(text) <= 80 else f"{text[:80]}#{hashlib.md5(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+        return f"{self._path()}|{whole}"
+
     def _known(self, text: str) -> bool:
-        return f"{self._path()}|{text[:80]}" in self.template
+        return self._token(text) in self.template
 
     def handle_starttag(self, tag: str, attrs) -> None:
         tag = re.split(r"[^\w:-]", tag)[0]
@@ -202,7 +208,7 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
         if text:
-            self.tokens[f"{self._path()}|{text[:80]}"] += 1
+            self.tokens[self._token(text)] += 1
         if self.out:
             return
         if self.open:
@@ -213,6 +219,7 @@ class _Page(HTMLParser):
                 part[3] = known if part[3] is None else part[3] and known
         if not self.pre and not self.math and not self.code:
             self.run.append(data)
+            self.run_known = self.run_known and (not text or self._known(text))
         elif self.code and not self.pre and not self.open:
             self.run.append(" ")
 
