@@ -1,8 +1,8 @@
 """Turning pages of HTML, Markdown, wiki text or LaTeX into clean text that keeps headings, lists, code and formulas.
 
 The site's own parts of HTML pages are found by deducing each host's template from its pages: text and tag tokens that
-occur equally often in the very same pages form a class; a class of several tokens over enough pages is valid, valid
-classes nested in each other's order make up the template, and what they leave open are the slots that hold content.
+occur equally often in the very same pages form a class; a class of several tokens over enough pages is valid, and the
+tokens of the valid classes make up the template. Their order and nesting are not checked.
 """
 
 from __future__ import annotations
