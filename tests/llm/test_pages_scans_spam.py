@@ -62,10 +62,8 @@ def test_template_of_a_host_is_left_out(spark):
     assert [p["kind"] for p in got[97]["parts"]].count("list_item") == 3  # one page is no template
     assert got[99]["markup"] == "plain" and got[98]["parts"] == []
     assert page_parts(df.limit(0)).count() == 0
-    from lexloom.llm.markup import decoded_pages
-
     copies = spark.createDataFrame([(i, "https://c.example/x", None, page(1), None, None, None) for i in range(9)], PAGES)
-    assert templates(decoded_pages(copies)).count() == 0
+    assert templates(copies).count() == 0
 
 
 BODY = ["The licensed carrier must keep the register of permits in the ter-", "ritory of the state. A sub-", "section of the law may exempt cross-border flows from it.", "The office must keep the register of permits in the territory and the", "carrier may keep cross-border flows in the sub-section register of it."]
