@@ -25,10 +25,6 @@ HAN = re.compile("[㐀-鿿]")
 CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
-#: Names of a catalogue up to which its vocabulary is broadcast: some ten megabytes.
-BROADCAST_NAMES = 100_000
-
-
 def _visible(ch: str) -> str:
     return ch if _same(ch) else ""
 
@@ -126,6 +122,7 @@ def _short_for(a: str, b: str) -> bool:
     return all(c in it for c in a)
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def _word_score(a: str, b: str, known: bool) -> float:
     """How well the typed word `a` stands for the word `b`; a word the catalogue knows stands only for itself."""
     if a == b:
@@ -142,36 +139,49 @@ def _word_score(a: str, b: str, known: bool) -> float:
     return 0.0
 
 
-def agreement(typed: Name, title: Name, known: frozenset[str] | set[str]) -> float:
-    """Whether a typed name can mean a title: 0 if not, else the mean of its words' scores (1: the same words).
+@functools.lru_cache(maxsize=1 << 16)
+def _slip_in_filler(w: str) -> bool:
+    return any(_edits(w, x, 1) <= 1 for x in LONG_FILLER)
+
+
+def terms(name: Name) -> list[str]:
+    """The words of a name and, in Chinese, its pairs of characters: what a catalogue's vocabulary is made of."""
+    return name.words + [w[i : i + 2] for w in name.words if HAN.search(w) for i in range(len(w) - 1)]
 
-    Every word of the title must be there, in any order, and every word typed must stand for one; in Chinese, where
-    words are not set apart, one character may differ if it makes pairs of characters that no title has.
+
+def soft_cosine(typed: Name, title: Name, known: frozenset[str] | set[str]) -> tuple[float, float, list[str]]:
+    """(cosine, mean score, words as read) of a typed name against a title.
+
+    A word that stands for one of the title's (a slip, a short form, any order) is read as that word; words the catalogue
+    knows (`known`) stand only for themselves. The cosine is that of the words as read and the title's; the mean score of
+    the readings tells titles of one cosine apart. In Chinese, where words are not set apart, one character may differ if
+    it makes pairs of characters that no title has.
     """
     if not title.words or not typed.words:
-        return 0.0
+        return 0.0, 0.0, typed.words
     if HAN.search(title.text):
         a, b = typed.text, title.text
         if a == b:
-            return 1.0
-        if len(b) < 5 or _edits(a, b, 1) > 1:
-            return 0.0
-        strange = sum(p not in known for p in (a[i : i + 2] for i in range(len(a) - 1)))
-        return 0.9 if strange else 0.0
+            return 1.0, 1.0, title.words
+        if len(b) < 5 or _edits(a, b, 1) > 1 or all(p in known for p in (a[i : i + 2] for i in range(len(a) - 1))):
+            return 0.0, 0.0, typed.words
+        return 1.0, 0.9, title.words
     left = list(title.words)
-    total, n = 0.0, 0
+    read: list[str] = []
+    total = 0.0
     for w in sorted(typed.words, key=lambda w: (w not in known, -len(w))):
         best = max(range(len(left)), key=lambda i: _word_score(w, left[i], w in known), default=None)
         s = _word_score(w, left[best], w in known) if best is not None else 0.0
         if s == 0.0:
-            if w not in known and len(w) >= 4 and any(_edits(w, x, 1) <= 1 for x in LONG_FILLER):
-                continue
-            return 0.0
-        left.pop(best)
-        total, n = total + s, n + 1
-    if left:
-        return 0.0
-    return total / n
+            if w not in known and len(w) >= 4 and _slip_in_filler(w):
+                continue  # a slip in a word that carries no identity
+            read.append(w)
+        else:
+            read.append(left.pop(best))
+            total += s
+    if not read:
+        return 0.0, 0.0, typed.words
+    return (len(title.words) - len(left)) / (len(read) * len(title.words)) ** 0.5, total / len(read), read
 
 
 def _same_year(typed: int | None, year: int | None) -> bool | None:
@@ -209,17 +219,23 @@ def top_similar(left: DataFrame, right: DataFrame, n: int, least: float) -> Data
     return sim.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def link_names(
-    mentions: DataFrame, catalogue: DataFrame, top: int = 24, least: float = 0.25
-) -> DataFrame:
+LINK = "scope string, name string, id string, score double, words array<string>, year int, grams array<string>"
+
+
+def link_names(mentions: DataFrame, catalogue: DataFrame, top: int = 24, least: float = 0.25, same: float = 0.95) -> DataFrame:
     """(scope, name, id, score): each distinct typed name and the catalogue entry it means; names that mean none are left out.
 
-    `mentions` has scope and name; `catalogue` has id, scope, title, aliases ARRAY<STRING> and number. Its names reach the
-    workers by joins; its vocabulary by scope is broadcast only if the catalogue's size, counted first, allows it. Candidates are the `top` catalogue names of the
-    highest cosine of weighted character n-grams within the scope. A candidate is taken if its words agree with the
-    typed ones one by one (`agreement`), its year is the typed one, and it alone is the best; without a typed year the
-    name must fit one entry only, or one of the typed number. Capitals alone ("SSSR (1976)") are first letters of a
-    title. Null and blank names and scopes have no links; a name that fits several entries equally well has none.
+    `mentions` has scope and name; `catalogue` has id, scope, title, aliases ARRAY<STRING> and number. Three steps:
+
+    1. Candidates of a name are the `top` catalogue names of the highest cosine of weighted character n-grams within the
+       scope, at least `least`; nothing but an equi-join on n-grams finds them.
+    2. Each candidate's soft cosine (`soft_cosine`) must reach `same` and its year must agree; the name is read in the
+       words of the best one. A name that fits several equally well is read as none. Capitals alone ("SSSR (1976)") are
+       first letters of a title.
+    3. Names as read and titles are grouped by average linkage of the cosines of their weighted n-grams, at least `same`,
+       groups of years that differ kept apart. A name means the entry it was read as if that lies in its group.
+
+    Null and blank names and scopes have no links.
     """
     spark = mentions.sparkSession
     simpler = simpler_characters(spark)
@@ -228,34 +244,37 @@ def link_names(
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             names = [Name(x, simpler) for x in f["name"]]
-            yield pd.DataFrame({"scope": f["scope"], "name": f["name"], "grams": [[f"={x.initials}"] if x.initials else grams(x.words) for x in names]})
+            yield pd.DataFrame({"scope": f["scope"], "name": f["name"], "terms": [terms(x) for x in names], "grams": [[f"={x.initials}"] if x.initials else grams(x.words) for x in names]})
 
     def parse_catalogue(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for scope, key, title, aliases in zip(f["scope"], f["id"], f["title"], f["aliases"]):
                 x = Name(title, simpler)
-                out.append((scope, f"{key}\x00{title}", key, title, grams(x.words)))
+                out.append((scope, f"{key}\x00{title}", key, title, title, terms(x), x.words, x.year or 0, grams(x.words)))
                 if len(x.words) > 1:
-                    out.append((scope, f"{key}\x01{title}", key, title, ["=" + "".join(w[0] for w in x.words)]))
-                out += [(scope, f"{key}\x02{a}", key, a, grams(Name(a, simpler).words)) for a in (aliases if aliases is not None else []) if a]
-            yield pd.DataFrame(out, columns=["scope", "r", "id", "title", "grams"])
-
-    typed = materialize(own.mapInPandas(parse, "scope string, name string, grams array<string>"), "names")
-    entries = materialize(catalogue.where("scope is not null and title is not null").select("scope", "id", "title", "aliases").mapInPandas(parse_catalogue, "scope string, r string, id string, title string, grams array<string>"), "titles")
+                    out.append((scope, f"{key}\x01{title}", key, title, title, [], [], 0, ["=" + "".join(w[0] for w in x.words)]))
+                for a in filter(None, aliases if aliases is not None else []):
+                    y = Name(a, simpler)
+                    out.append((scope, f"{key}\x02{a}", key, a, title, terms(y), [], 0, grams(y.words)))
+            yield pd.DataFrame(out, columns=["scope", "r", "id", "title", "main", "terms", "words", "year", "grams"])
+
+    typed = materialize(own.mapInPandas(parse, "scope string, name string, terms array<string>, grams array<string>"), "names")
+    entry = "scope string, r string, id string, title string, main string, terms array<string>, words array<string>, year int, grams array<string>"
+    entries = materialize(catalogue.where("scope is not null and title is not null").select("scope", "id", "title", "aliases").mapInPandas(parse_catalogue, entry), "titles")
     size = entries.groupBy("scope").agg(F.count("*").alias("all"))
     df = entries.select("scope", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("scope", "gram").agg(F.count("*").alias("df"))
     idf = df.join(size, "scope").select("scope", "gram", (F.log((F.col("all") + 1) / F.col("df")) + 0.1).alias("idf"))
-    left = weighted_grams(typed.withColumnRenamed("name", "l"), ["l"], idf)
+    left = weighted_grams(typed.select("scope", F.col("name").alias("l"), "grams"), ["l"], idf)
     right = weighted_grams(entries.select("r", "scope", "grams"), ["r"], idf)
     found = top_similar(left, right, top, least)
     numbers = catalogue.select("id", F.col("number").alias("number"))
-    pairs = found.join(entries.select("scope", "r", "id", "title"), ["scope", "r"]).join(numbers, "id")
-    known = entries.select("scope", "title").groupBy("scope").agg(F.collect_set("title").alias("titles"))  # one row a scope, of the catalogue only
+    pairs = found.join(entries.select("scope", "r", "id", "title", "main"), ["scope", "r"]).join(numbers, "id")
+    vocabulary = entries.select("scope", F.explode("terms").alias("term")).distinct()
+    known = typed.select("scope", F.col("name").alias("l"), F.explode("terms").alias("term")).distinct().join(vocabulary, ["scope", "term"]).groupBy("scope", "l").agg(F.collect_set("term").alias("known"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, Name] = {}
-        vocabulary: dict[str, frozenset[str]] = {}
 
         def name(x: str) -> Name:
             if x not in parsed:
@@ -266,39 +285,48 @@ def link_names(
 
         for f in frames:
             out = []
-            for scope, typed_name, titles, cands in zip(f["scope"], f["l"], f["titles"], f["cands"]):
-                if scope not in vocabulary:
-                    words = [n for t in titles for n in name(t).words]
-                    vocabulary[scope] = frozenset(words) | frozenset(w[i : i + 2] for w in words if HAN.search(w) for i in range(len(w) - 1))
-                m = name(typed_name)
-                fits: dict[str, tuple[float, bool | None, bool]] = {}
+            for scope, typed_name, terms_known, cands in zip(f["scope"], f["l"], f["known"], f["cands"]):
+                m, vocabulary = name(typed_name), frozenset(terms_known if terms_known is not None else ())
+                fits: dict[str, tuple] = {}
                 for c in cands:
-                    kind, t = c["r"][len(c["id"])], name(c["title"])
+                    kind, t, main = c["r"][len(c["id"])], name(c["title"]), name(c["main"])
                     if kind == "\x01":
-                        score = 0.7 if m.initials and m.initials == "".join(w[0] for w in t.words) else 0.0
+                        same_letters = m.initials and m.initials == "".join(w[0] for w in t.words)
+                        cosine, score, read = (1.0, 0.7, t.words) if same_letters else (0.0, 0.0, [])
                     else:
-                        score = agreement(m, t, vocabulary[scope])
+                        cosine, score, read = soft_cosine(m, t, vocabulary)
                     year = _same_year(m.year, t.year)
-                    if kind == "\x02" and t.year is None:
-                        year = year if year is None else None
+                    if kind == "\x02":
+                        read = main.words if cosine >= same else read
+                        if t.year is None:
+                            year = year if year is None else None
                     number = re.sub(r"\D", "", c["number"] or "")
-                    if score == 0.0 or year is False or (m.number and number and m.number != number and year is None):
+                    if cosine < same or year is False or (m.number and number and m.number != number and year is None):
                         continue
-                    x = (score, year, bool(m.number and m.number == number))
+                    x = (score, year, bool(m.number and m.number == number), read, main.year or 0)
                     if c["id"] not in fits or x[0] > fits[c["id"]][0]:
                         fits[c["id"]] = x
                 if not fits:
                     continue
-                best = max((bool(y), n, s) for s, y, n in fits.values())
-                who = [k for k, (s, y, n) in fits.items() if (bool(y), n, s) == best]
+                best = max((bool(y), n, s) for s, y, n, _, _ in fits.values())
+                who = [k for k, (s, y, n, _, _) in fits.items() if (bool(y), n, s) == best]
                 if len(who) == 1:
-                    out.append((scope, typed_name, who[0], best[2]))
-            yield pd.DataFrame(out, columns=["scope", "name", "id", "score"])
-
-    grouped = pairs.groupBy("scope", "l").agg(F.collect_list(F.struct("id", "r", "title", "number")).alias("cands"))  # at most `top` each
-    if entries.count() <= BROADCAST_NAMES:
-        known = F.broadcast(known)  # at most so many titles; a larger catalogue is joined by scope
-    return grouped.join(known, "scope").mapInPandas(judge, "scope string, name string, id string, score double")
+                    _, year, number, read, entry_year = fits[who[0]]
+                    # a number tells the year as well; a name with neither keeps its year open
+                    out.append((scope, typed_name, who[0], best[2], sorted(read), entry_year if number or year else m.year or 0, grams(read)))
+            yield pd.DataFrame(out, columns=["scope", "name", "id", "score", "words", "year", "grams"])
+
+    grouped = pairs.groupBy("scope", "l").agg(F.collect_list(F.struct("id", "r", "title", "main", "number")).alias("cands"))  # at most `top` each
+    read = materialize(grouped.join(known, ["scope", "l"], "left").mapInPandas(judge, LINK), "read")
+    form = F.concat(F.col("year").cast("string"), F.lit(" "), F.array_join(F.sort_array("words"), " "))
+    titles = entries.where("size(words) > 0").select("scope", "id", form.alias("form"), "year", "grams")
+    names = read.select("scope", "name", "id", "score", form.alias("form"), "year", "grams")
+    # copies are one node: what is grouped are the different forms, whatever the number of names
+    forms = materialize(titles.select("scope", F.col("form").alias("name"), "year", "grams").unionByName(names.select("scope", F.col("form").alias("name"), "year", "grams")).dropDuplicates(["scope", "name"]), "forms")
+    node = F.concat("scope", F.lit(" "), "form")
+    groups = average_linkage(similar_pairs(forms, same), same, forms.select(F.concat("scope", F.lit(" "), "name").alias("node"), "year"))
+    grouped_as = lambda x: x.withColumn("node", node).join(groups, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("node", "form", "year", "grams")
+    return grouped_as(names).join(grouped_as(titles).select("scope", "id", "cluster"), ["scope", "id", "cluster"]).select("scope", "name", "id", "score")
 
 
 def grams_of(names: DataFrame) -> DataFrame:

@@ -63,3 +63,19 @@ def test_linkage_goes_on_until_no_merge_is_left(spark):
     pairs = [(a, b, 1 - 0.01 * j) for j, b in enumerate(nodes) for a in nodes[:j]]
     got = average_linkage(spark.createDataFrame(pairs, "a string, b string, s double"), 0.4)
     assert got.select("cluster").distinct().count() == 1
+
+
+def test_a_name_means_the_title_of_its_group(spark):
+    from lexloom.llm.names import Name, link_names, soft_cosine
+
+    known = {"data", "custody", "act", "code", "rules"}
+    assert soft_cosine(Name("Dta Cust. Act"), Name("Data Custody Act"), known)[0] == 1.0
+    assert soft_cosine(Name("Data Custody"), Name("Data Custody Act"), known)[0] < 0.95
+    assert soft_cosine(Name("Data Custody Code"), Name("Data Custody Act"), known)[0] < 0.95
+    laws = [("a", "X", "Data Custody Act 1990", None, None), ("b", "X", "Data Custody Act 2001", None, None), ("c", "X", "Harbour Rules 1980", ["PORT LAW"], "Act 7")]
+    catalogue = spark.createDataFrame(laws, "id string, scope string, title string, aliases array<string>, number string")
+    names = ["Dta Cust. Act '90", "Data Custody Act", "2001 Act on Data Custody", "port law", "H.R. (1980)", "Harbuor Rules", "Harbour Code 1980", "", None]
+    mentions = spark.createDataFrame([("X", n) for n in names] * 2 + [("Y", names[0]), (None, names[0])], "scope string, name string")
+    got = {(r["name"], r["id"]) for r in link_names(mentions, catalogue).collect()}
+    assert got == {("Dta Cust. Act '90", "a"), ("2001 Act on Data Custody", "b"), ("port law", "c"), ("H.R. (1980)", "c"), ("Harbuor Rules", "c")}
+    assert link_names(mentions.limit(0), catalogue).count() == 0 and link_names(mentions, catalogue.limit(0)).count() == 0
