@@ -1,30 +1,35 @@
-"""Pages of repeated keywords, links or product tags: found by the shapes of their lines."""
+"""Pages of repeated keywords, links or product tags: found by the shapes of their lines.
+
+Every line is reduced to a shape; the shapes of all pages are grouped, and a group tells by the company it keeps whether
+it is the shape of a page without sentences. A page that few such shapes dominate is reported.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import spread
+from lexloom.session import materialize, spread
 
-URL = re.compile(r"https?://\S+|\b(?:[^\W_][\w-]*\.)+(?:example|com|net|org|info|biz|io)\b(?:/\S*)?", re.I)
+URL = re.compile(r"https?://\S+|(?<![\w.])(?:[^\W\d_A-Z][\w-]*\.)+[a-z]{2,}(?:/\S*)?(?![\w.])")
 SEPARATOR = re.compile(r"\s+(?:[|·»•*/→~–—]|>>)\s+|\s{2,}|\t")
+SEMICOLON = re.compile(r"\s*[;；]\s*")
 COMMA = re.compile(r"\s*[,;，、；]\s*")
 NUMBER_LED = re.compile(r"^\W*(?:\d[\d/.,]*|[a-zA-Z]|Q\d+|[ivxIVX]+)[.)\]:/|]*\s+\S")
 NUMBER_ENDED = re.compile(r"(?:\.{4,}|[^\d(\s]\s*[,.\s]\s*\d{1,4}(?:, ?\d{1,4})*)\W?$")
-PRICE = re.compile(r"\b(?:sku|ref)\b:?\s*\d+|[$€£¥]\s?\d|\busd \d|\b\d+\.\d\d\b", re.I)
+AMOUNT = re.compile(r"[$€£¥]\s?\d|\b\d+\.\d\d\b")
 COUNTED = re.compile(r"\(\d+\)")
 SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[。！？]")
 WORD = re.compile(r"[^\W\d_]+")
 HAN = re.compile("[㐀-鿿]")
 
-#: Shapes that no sentence has; of these a spam page is made.
-NOT_SENTENCES = ("link", "tag", "product", "counted", "keyword", "stuffed")
+#: Forms of lines that real texts have: sentences, and entries led or ended by numbers (contents, indexes, registers, clauses).
+REAL = ("sentence", "entry")
 
 
 def words(text: str) -> list[str]:
@@ -54,14 +59,17 @@ def _segments(text: str) -> Iterator[tuple[str, bool]]:
         for part in SEPARATOR.split(line):
             if not part:
                 continue
-            if len(part) > 60 and not SENTENCE_END.search(URL.sub("", part)) and len(COMMA.findall(part)) * 40 > len(part):
-                yield from ((p, False) for p in COMMA.split(part) if p)
-            else:
-                yield part, False
+            cut = None
+            if not SENTENCE_END.search(URL.sub("", part)):
+                if len(SEMICOLON.findall(part)) > 1:
+                    cut = SEMICOLON
+                elif len(part) > 60 and len(COMMA.findall(part)) * 40 > len(part):
+                    cut = COMMA
+            yield from ((p, False) for p in (cut.split(part) if cut else [part]) if p)
 
 
-def _kind(seg: str, led: bool) -> tuple[str, int, list[str]]:
-    """(kind, links, words without links) of a segment, from its shape alone."""
+def _form(seg: str, led: bool) -> tuple[str, int, list[str]]:
+    """(form, links, words without links) of a segment, from its layout alone."""
     links = len(URL.findall(seg))
     rest = URL.sub(" ", seg) if links else seg
     w = words(rest)
@@ -71,7 +79,7 @@ def _kind(seg: str, led: bool) -> tuple[str, int, list[str]]:
         return "entry", links, w
     if seg[0] == "#" and len(w) <= 3 or "#" in seg and seg.count("#") * 4 >= len(w):
         return "tag", links, w
-    if PRICE.search(rest) and len(w) <= 12:
+    if AMOUNT.search(rest) and len(w) <= 12:
         return "product", links, w
     counted = len(COUNTED.findall(rest))
     if counted and counted * 4 >= len(w):
@@ -83,78 +91,102 @@ def _kind(seg: str, led: bool) -> tuple[str, int, list[str]]:
     return "keyword", links, w
 
 
+def _stuffing(sentences: list[list[str]]) -> set[tuple[str, str]] | None:
+    """The pairs of words that fill a fifth of all the sentences they are in; None: all are stuffed, for there are hardly any words."""
+    said = [x for w in sentences for x in w]
+    if len(said) >= 40 and len(set(said)) <= min(40, 0.3 * len(said)):
+        return None
+    if len(sentences) < 4 and len(said) < 40:
+        return set()
+    times = Counter(p for w in sentences for p in zip(w, w[1:]))
+    held: dict[tuple[str, str], int] = defaultdict(int)
+    for w in sentences:
+        for p in set(zip(w, w[1:])):
+            held[p] += len(w)
+    return {p for p, n in times.items() if n >= 5 and 2 * n >= 0.2 * held[p]}
+
+
 def page_shapes(text: str | None) -> tuple[float, list[tuple[str, str, int]]]:
-    """(share of non-sentence shapes, [(shape, kind, characters)]) of a page.
+    """(share of non-sentence shapes, [(shape, form, characters)]) of a page by itself.
 
-    A shape is the kind of a segment with classes of its number of words, of capitals, separators and links. Kinds
-    `entry` (numbered or ending in page numbers: contents, indexes, registers, clauses) and `sentence` are those of
-    real texts. Headings and other short segments are `keyword`; they count only where their words repeat over the
-    page (at most 55 words in 100 differ). Sentences count as `stuffed` where one pair of words fills a fifth of all
-    the sentences it is in, or where a long page has hardly any words. A null, empty or blank text has share 0.
+    A shape is the form of a segment with classes of its number of words, of capitals, separators and links, and of how
+    far its words repeat over the page: none, some or most of a keyword segment's words; whether a pair of words that
+    fills a fifth of all its sentences is in a sentence (`stuffed`). By itself a page's keywords count where they repeat.
+    A null, empty or blank text has share 0.
     """
     found: list[tuple[str, str, int, list[str]]] = []
     for seg, led in _segments(text or ""):
-        kind, links, w = _kind(seg, led)
+        form, links, w = _form(seg, led)
         caps = sum(map(str.isupper, seg))
         shape = f"{_bucket(len(w))} words, {'all' if caps * 2 > len(seg) else 'some' if caps > 1 else 'few'} capitals, {'separated' if SEPARATOR.search(seg) else 'plain'}, {_bucket(links)} links"
-        found.append((shape, kind, len(seg), w))
+        found.append((shape, form, len(seg), w))
     total = sum(n for _, _, n, _ in found)
     if not total:
         return 0.0, []
-    keyword = [x for _, k, _, w in found if k == "keyword" for x in w]
-    repeated = len(keyword) >= 16 and len(set(keyword)) <= 0.55 * len(keyword)
-    sentences = [w for _, k, _, w in found if k == "sentence"]
-    said = [x for w in sentences for x in w]
-    poor = len(said) >= 40 and len(set(said)) <= min(40, 0.3 * len(said))
-    stuffed: tuple[str, str] | None = None
-    if len(sentences) >= 4 or len(said) >= 40:
-        pairs = Counter(p for w in sentences for p in zip(w, w[1:]))
-        for pair, n in pairs.most_common(3):
-            own = [w for w in sentences if pair in set(zip(w, w[1:]))]
-            if n >= 5 and 2 * n >= 0.2 * sum(map(len, own)):
-                stuffed = pair
-                break
+    often = Counter(x for _, f, _, w in found if f == "keyword" for x in w)
+    stuffing = _stuffing([w for _, f, _, w in found if f == "sentence"])
     out, bad = [], 0
-    for shape, kind, n, w in found:
-        if kind == "sentence" and (poor or stuffed and stuffed in set(zip(w, w[1:]))):
-            kind = "stuffed"
-        if kind in NOT_SENTENCES and (kind != "keyword" or repeated):
+    for shape, form, n, w in found:
+        echo = ""
+        if form == "keyword":
+            again = sum(often[x] > 1 for x in w)
+            echo = ", none repeat" if again * 3 <= len(w) else ", some repeat" if again * 3 <= 2 * len(w) else ", most repeat"
+        elif form == "sentence" and (stuffing is None or stuffing and any(p in stuffing for p in zip(w, w[1:]))):
+            form = "stuffed"
+        if form not in REAL and echo != ", none repeat":
             bad += n
-        out.append((shape, kind, n))
+        out.append((shape + echo, form, n))
     return bad / total, out
 
 
 def shape_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, share, shapes): for every row the share of characters in non-sentence shapes, and its shapes.
+    """(id, share, sentences, shapes): for every row the share of characters in non-sentence shapes by itself, that in
+    sentences, and its shapes.
 
-    `shapes` is an array of (shape, kind, segments, chars), the largest first. Null ids and repeated rows stay. Narrow.
+    `shapes` is an array of (shape, form, segments, chars), the largest first. Null ids and repeated rows stay. Narrow.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, share double, shapes array<struct<shape: string, kind: string, segments: int, chars: int>>"
+    schema = f"`{id_col}` {kind}, share double, sentences double, shapes array<struct<shape: string, form: string, segments: int, chars: int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        struct = pa.list_(pa.struct([("shape", pa.string()), ("kind", pa.string()), ("segments", pa.int32()), ("chars", pa.int32())]))
+        struct = pa.list_(pa.struct([("shape", pa.string()), ("form", pa.string()), ("segments", pa.int32()), ("chars", pa.int32())]))
         for b in batches:
-            shares, shapes = [], []
+            shares, sentences, shapes = [], [], []
             for t in b.column(1).to_pylist():
                 share, found = page_shapes(t)
-                n, chars = Counter((s, k) for s, k, _ in found), Counter()
-                for s, k, c in found:
-                    chars[s, k] += c
+                n, chars = Counter((s, f) for s, f, _ in found), Counter()
+                for s, f, c in found:
+                    chars[s, f] += c
                 shares.append(share)
-                shapes.append([{"shape": s, "kind": k, "segments": n[s, k], "chars": c} for (s, k), c in chars.most_common()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64()), pa.array(shapes, struct)], names=[id_col, "share", "shapes"])
+                sentences.append(sum(c for (_, f), c in chars.items() if f == "sentence") / max(1, sum(chars.values())))
+                shapes.append([{"shape": s, "form": f, "segments": n[s, f], "chars": c} for (s, f), c in chars.most_common()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64()), pa.array(sentences, pa.float64()), pa.array(shapes, struct)], names=[id_col, "share", "sentences", "shapes"])
 
     return spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
-def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6) -> DataFrame:
-    """(id, share): pages for the greater part of non-sentence shapes, of which at most `few` make up that part.
+def shape_groups(pages: DataFrame) -> DataFrame:
+    """(form, shape, pages, segments, chars, company): the shapes of all pages of `shape_pages`.
+
+    `company` is the mean share of sentences in the pages where a shape occurs, weighted by its characters: headings
+    keep the company of sentences, keywords and tags don't. There are at most as many groups as combinations of classes
+    (under 3,000), whatever the number of pages; sums are made on the map side first.
+    """
+    one = pages.select("sentences", F.explode("shapes").alias("s"))
+    groups = one.groupBy("s.form", "s.shape").agg(F.count("*").alias("pages"), F.sum("s.segments").alias("segments"), F.sum("s.chars").alias("chars"), F.sum(F.col("s.chars") * F.col("sentences")).alias("beside"))
+    return groups.select("form", "shape", "pages", "segments", "chars", (F.col("beside") / F.col("chars")).alias("company"))
+
+
+def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6, company: float = 0.3) -> DataFrame:
+    """(id, share): pages of which the largest `few` non-sentence shapes hold more than `share` of the characters.
 
-    Each page is judged by its own shapes, whole text; nothing is sampled. Duplicated texts are judged alike.
+    Non-sentence are the shapes that are neither sentences nor entries and whose company over the whole corpus is under
+    `company`. Whole texts, every page; duplicated texts are judged alike. The groups reach the pages as one small array.
     """
-    pages = shape_pages(docs, id_col, text_col)
-    bad = F.filter("shapes", lambda s: s["kind"].isin(*NOT_SENTENCES))
+    pages = materialize(shape_pages(docs, id_col, text_col), "p10-shapes")
+    odd = shape_groups(pages).where(~F.col("form").isin(*REAL) & (F.col("company") < company)).agg(F.collect_set(F.concat_ws(": ", "form", "shape")).alias("odd"))
+    seen = pages.withColumn("odd", odd.scalar())
+    bad = F.filter("shapes", lambda s: F.array_contains("odd", F.concat_ws(": ", s["form"], s["shape"])))
+    total = F.aggregate("shapes", F.lit(0), lambda a, s: a + s["chars"])
     top = F.aggregate(F.slice(bad, 1, few), F.lit(0), lambda a, s: a + s["chars"])
-    every = F.aggregate(bad, F.lit(0), lambda a, s: a + s["chars"])
-    return pages.where((F.col("share") > share) & (top > every * 0.5)).select(id_col, "share")
+    return seen.select(id_col, (top / F.greatest(total, F.lit(1))).alias("share")).where(F.col("share") > share)

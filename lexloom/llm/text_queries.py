@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.llm.scans import line_findings, paragraphs
-from lexloom.llm.spam import shape_pages, spam_pages
+from lexloom.llm.spam import shape_groups, shape_pages, spam_pages
 from lexloom.llm.splitting import split_oversized
 from lexloom.sources.tables import table
 
@@ -43,9 +43,8 @@ def p10_found(spark, d):
 
 
 def p10_shapes(spark, d):
-    """The shapes of the corpus: how many pages, segments and characters have each."""
-    pages = shape_pages(table(spark, d, "documents"), "doc_id", "text").select(F.explode("shapes").alias("s"))
-    return pages.groupBy("s.kind", "s.shape").agg(F.count("*").alias("pages"), F.sum("s.segments").alias("segments"), F.sum("s.chars").alias("chars"))
+    """The shapes of the corpus: how many pages, segments and characters have each, and the company each keeps."""
+    return shape_groups(shape_pages(table(spark, d, "documents"), "doc_id", "text"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}

@@ -107,3 +107,16 @@ def test_spam(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, share double")
     assert sorted(str(r["doc_id"]) for r in spam_pages(df, "doc_id", "text").collect()) == sorted([*map(str, range(len(SPAM))), "0", "None"])
     assert spam_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_shapes_are_judged_by_the_company_they_keep(spark):
+    """Short capitalised lines without an end are headings beside sentences, and spam where pages hold nothing else."""
+    from lexloom.llm.spam import shape_groups, shape_pages
+
+    head = lambda i: "\n".join(f"Topic {'abcdefghijklmnop'[k]}{i}x\nThe office must keep the register of permits number {i} in the territory and tell the carrier so." for k in range(8))
+    tags = lambda i: " | ".join(f"cheap {w} fast" for w in ["law", "pdf", "form", "audit"] * 8)
+    df = spark.createDataFrame([(i, head(i)) for i in range(20)] + [(100 + i, tags(i)) for i in range(5)], "doc_id long, text string")
+    groups = {(r["form"], r["shape"]): r["company"] for r in shape_groups(shape_pages(df, "doc_id", "text")).collect()}
+    assert any(f == "keyword" and c > 0.7 for (f, _), c in groups.items()) and any(f == "keyword" and c == 0.0 for (f, _), c in groups.items())
+    assert {r["doc_id"] for r in spam_pages(df, "doc_id", "text").collect()} == {100 + i for i in range(5)}
+    assert spam_pages(df, "doc_id", "text", company=0.0).count() == 0  # no shape is in worse company
