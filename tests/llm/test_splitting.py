@@ -41,3 +41,18 @@ def test_items(spark):
     assert sorted((r["id"], r["forced"]) for r in got) == [("a", 1), ("a", 1), ("b", 1)]
     assert all(len(p["text"]) <= 3000 for r in got for p in r["pieces"])
     assert split_oversized(df.limit(0), "id", "j").count() == 0
+
+
+def test_siblings_are_merged_and_only_oversized_nodes_entered():
+    from lexloom.llm.splitting import Tree
+
+    part = lambda p, n: f"PART {p}\n" + "".join(f"Section {p}{k}\n" + "A rule stands here. " * n + "\n" for k in range(3))
+    text = part(1, 5) + part(2, 40) + part(3, 5)
+    cuts = [text[e:].split("\n")[0] for _, _, e, _ in split_text(text, 1200, 200)[:-1]]
+    assert cuts[0] == "PART 2"  # the first part fits and stays whole
+    assert all(c.startswith(("PART", "Section")) for c in cuts)
+    listed = "Intro.\n" + "".join(f"- item {i}\n" + "".join(f"  - sub {i}.{k} " + "x" * 20 + "\n" for k in range(4)) for i in range(30))
+    assert all(listed[e:].startswith("- item") for _, _, e, _ in split_text(listed, 500, 100)[:-1])
+    deep = "".join(" " * k + f"- level {k}\n" for k in range(2000))
+    assert all(e - s <= 3000 for s, _, e, _ in split_text(deep, 3000, 200))
+    assert Tree("").pack(10) == [] and Tree("ab. " * 3).longest_stretch() == 2
