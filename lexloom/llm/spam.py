@@ -30,6 +30,8 @@ HAN = re.compile("[㐀-鿿]")
 
 #: Forms of lines that real texts have: sentences, and entries led or ended by numbers (contents, indexes, registers, clauses).
 REAL = ("sentence", "entry")
+#: The end of the shapes of keywords that their page does not repeat.
+UNREPEATED = ", none repeat"
 
 
 def words(text: str) -> list[str]:
@@ -130,10 +132,10 @@ def page_shapes(text: str | None) -> tuple[float, list[tuple[str, str, int]]]:
         echo = ""
         if form == "keyword":
             again = sum(often[x] > 1 for x in w)
-            echo = ", none repeat" if again * 3 <= len(w) else ", some repeat" if again * 3 <= 2 * len(w) else ", most repeat"
+            echo = UNREPEATED if again * 3 <= len(w) else ", some repeat" if again * 3 <= 2 * len(w) else ", most repeat"
         elif form == "sentence" and (stuffing is None or stuffing and any(p in stuffing for p in zip(w, w[1:]))):
             form = "stuffed"
-        if form not in REAL and echo != ", none repeat":
+        if form not in REAL and echo != UNREPEATED:
             bad += n
         out.append((shape + echo, form, n))
     return bad / total, out
@@ -180,11 +182,12 @@ def shape_groups(pages: DataFrame) -> DataFrame:
 def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6, company: float = 0.3) -> DataFrame:
     """(id, share): pages of which the largest `few` non-sentence shapes hold more than `share` of the characters.
 
-    Non-sentence are the shapes that are neither sentences nor entries and whose company over the whole corpus is under
+    Non-sentence are the shapes that are neither sentences, entries nor words said once, and whose company over the whole corpus is under
     `company`. Whole texts, every page; duplicated texts are judged alike. The groups reach the pages as one small array.
     """
     pages = materialize(shape_pages(docs, id_col, text_col), "p10-shapes")
-    odd = shape_groups(pages).where(~F.col("form").isin(*REAL) & (F.col("company") < company)).agg(F.collect_set(F.concat_ws(": ", "form", "shape")).alias("odd"))
+    lone = F.col("shape").endswith(UNREPEATED)
+    odd = shape_groups(pages).where(~F.col("form").isin(*REAL) & ~lone & (F.col("company") < company)).agg(F.collect_set(F.concat_ws(": ", "form", "shape")).alias("odd"))
     seen = pages.withColumn("odd", odd.scalar())
     bad = F.filter("shapes", lambda s: F.array_contains("odd", F.concat_ws(": ", s["form"], s["shape"])))
     total = F.aggregate("shapes", F.lit(0), lambda a, s: a + s["chars"])
