@@ -113,7 +113,8 @@ def test_shapes_are_judged_by_the_company_they_keep(spark):
     """Short capitalised lines without an end are headings beside sentences, and spam where pages hold nothing else."""
     from lexloom.llm.spam import shape_groups, shape_pages
 
-    head = lambda i: "\n".join(f"Topic {'abcdefghijklmnop'[k]}{i}x\nThe office must keep the register of permits number {i} in the territory and tell the carrier so." for k in range(8))
+    said = ["Fees payable", "Fees due", "Fees waived", "Fees late"]
+    head = lambda i: "\n".join(f"{h}\nThe office must keep the register of permits number {i} in the territory and tell the carrier so." for h in said)
     tags = lambda i: " | ".join(f"cheap {w} fast" for w in ["law", "pdf", "form", "audit"] * 8)
     df = spark.createDataFrame([(i, head(i)) for i in range(20)] + [(100 + i, tags(i)) for i in range(5)], "doc_id long, text string")
     groups = {(r["form"], r["shape"]): r["company"] for r in shape_groups(shape_pages(df, "doc_id", "text")).collect()}
