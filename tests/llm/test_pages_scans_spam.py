@@ -114,7 +114,7 @@ def test_shapes_are_judged_by_the_company_they_keep(spark):
     from lexloom.llm.spam import shape_groups, shape_pages
 
     said = ["Fees payable", "Fees due", "Fees waived", "Fees late"]
-    rules = ["The office must keep the register of permits in the territory.", "A carrier may appeal to the Tribunal within ten days.", "Nobody shall copy sealed archives unless a court so directs.", "Data custodians tell their depositors about every transfer abroad."]
+    rules = ["The office must keep the register of permits in the territory.", "Every carrier may appeal to the Tribunal within ten days.", "Nobody shall copy sealed archives unless a court so directs.", "Data custodians tell their depositors about every transfer abroad."]
     head = lambda i: "\n".join(f"{h}\n{r}" for h, r in zip(said, rules[i % 4 :] + rules[: i % 4]))
     tags = lambda i: " | ".join(f"cheap {w} fast" for w in ["law", "pdf", "form", "audit"] * 8)
     df = spark.createDataFrame([(i, head(i)) for i in range(20)] + [(100 + i, tags(i)) for i in range(5)], "doc_id long, text string")
