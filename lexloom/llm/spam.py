@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialize, spread
 
-URL = re.compile(r"https?://\S+|(?<![\w.])(?:[^\W\d_A-Z][\w-]*\.)+[a-z]{2,}(?:/\S*)?(?![\w.])")
+URL = re.compile(r"https?://\S+|(?<![\w.])[^\W\d_A-Z][\w-]*+\.(?:[^\W\d_A-Z][\w-]*\.)*[a-z]{2,}(?:/\S*)?(?![\w.])")
+DOT = re.compile(r"\.[a-z]{2}")  # every link without a scheme has it
 SEPARATOR = re.compile(r"\s+(?:[|·»•*/→~–—]|>>)\s+|\s{2,}|\t")
 SEMICOLON = re.compile(r"\s*[;；]\s*")
 COMMA = re.compile(r"\s*[,;，、；]\s*")
@@ -36,8 +37,11 @@ UNREPEATED = ", none repeat"
 
 def words(text: str) -> list[str]:
     """Lower-case words; runs of Chinese characters count as their overlapping pairs."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or not HAN.search(text):
+        return found
     out = []
-    for w in WORD.findall(text.lower()):
+    for w in found:
         if HAN.match(w):
             out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
         else:
@@ -61,18 +65,15 @@ def _segments(text: str) -> Iterator[tuple[str, bool]]:
         for part in SEPARATOR.split(line):
             if not part:
                 continue
-            cut = None
-            if not SENTENCE_END.search(URL.sub("", part)):
-                if len(SEMICOLON.findall(part)) > 1:
-                    cut = SEMICOLON
-                elif len(part) > 60 and len(COMMA.findall(part)) * 40 > len(part):
-                    cut = COMMA
+            cut = SEMICOLON if part.count(";") + part.count("；") > 1 else COMMA if len(part) > 60 and len(COMMA.findall(part)) * 40 > len(part) else None
+            if cut and SENTENCE_END.search(URL.sub("", part)):
+                cut = None
             yield from ((p, False) for p in (cut.split(part) if cut else [part]) if p)
 
 
-def _form(seg: str, led: bool) -> tuple[str, int, list[str]]:
-    """(form, links, words without links) of a segment, from its layout alone."""
-    links = len(URL.findall(seg))
+def _form(seg: str, led: bool, linked: bool) -> tuple[str, int, list[str]]:
+    """(form, links, words without links) of a segment, from its layout alone; `linked` is false if its page has no link."""
+    links = len(URL.findall(seg)) if linked else 0
     rest = URL.sub(" ", seg) if links else seg
     w = words(rest)
     if links and len(w) <= (2 if led else 7):
@@ -86,7 +87,7 @@ def _form(seg: str, led: bool) -> tuple[str, int, list[str]]:
     counted = len(COUNTED.findall(rest))
     if counted and counted * 4 >= len(w):
         return "counted", links, w
-    if NUMBER_ENDED.search(rest):
+    if (any(map(str.isdigit, rest[-2:])) or "...." in rest[-5:]) and NUMBER_ENDED.search(rest):
         return "entry", links, w
     if len(w) >= 5 and SENTENCE_END.search(rest):
         return "sentence", links, w
@@ -117,10 +118,11 @@ def page_shapes(text: str | None) -> tuple[float, list[tuple[str, str, int]]]:
     A null, empty or blank text has share 0.
     """
     found: list[tuple[str, str, int, list[str]]] = []
+    linked = text is not None and ("://" in text or DOT.search(text) is not None)
     for seg, led in _segments(text or ""):
-        form, links, w = _form(seg, led)
+        form, links, w = _form(seg, led, linked)
         caps = sum(map(str.isupper, seg))
-        shape = f"{_bucket(len(w))} words, {'all' if caps * 2 > len(seg) else 'some' if caps > 1 else 'few'} capitals, {'separated' if SEPARATOR.search(seg) else 'plain'}, {_bucket(links)} links"
+        shape = f"{_bucket(len(w))} words, {'all' if caps * 2 > len(seg) else 'some' if caps > 1 else 'few'} capitals, {'separated' if led and SEPARATOR.search(seg) else 'plain'}, {_bucket(links)} links"
         found.append((shape, form, len(seg), w))
     total = sum(n for _, _, n, _ in found)
     if not total:
