@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lexloom.operators.incremental import LedgerStore, StaleToken, changed_records, replay_ledger
+from lexloom.operators.incremental import LedgerStore, StaleToken, changed_records, replay_ledger, replay_runs
 
 W = "version_id string, state string, updated_at string, write_seq long, landed_at timestamp_ntz"
 R = "run_id string, run_no int, started_at timestamp_ntz, finished_at timestamp_ntz, outcome string"
@@ -110,3 +110,33 @@ def test_store_retry_repeats_nothing(spark, tmp_path):
     assert ledger.run("x", "b", lambda path: spark.range(5))
     assert not ledger.run("x", "c", lambda path: spark.range(7))
     assert spark.read.parquet(*ledger.results()).count() == 5
+
+
+def test_replay_takes_leases_through_expiry_and_tokens():
+    log = [("a", 0.0, 600.0, "succeeded"), ("b", 7000.0, None, None), ("c", 7100.0, 7200.0, "failed"), ("d", 20000.0, 20600.0, "succeeded"), ("e", 30000.0, None, None)]
+    items = replay_runs(log, 3600.0)
+    assert [(i["run"], i["token"], i["leases"]) for i in items] == [("a", 1, 1), ("d", 4, 3), ("d", 4, 2), ("d", 4, 1), (None, None, 1)]
+    assert replay_runs([], 1.0) == []
+
+
+def test_killed_run_and_stale_writer_end_to_end(spark, tmp_path):
+    """A driver dies after it wrote, another takes over, and the first comes back: every record is in the results once."""
+    clock = [0.0]
+    root = f"file://{tmp_path}/ledger"
+    ledger = LedgerStore(spark, root, lease_seconds=10, clock=lambda: clock[0])
+    source = spark.range(100).selectExpr("id", "concat('day-', id % 4) AS day")
+    for i in range(4):
+        ledger.add(f"day-{i}")
+    make = lambda item: source.where(f"day = '{item}'")
+    assert ledger.run("day-0", "first", make)
+    token = ledger.lease("day-1", "first")
+    make("day-1").limit(3).write.parquet(ledger.output_path("day-1", token))  # killed half-way
+    clock[0] = 20
+    other = LedgerStore(spark, root, lease_seconds=10, clock=lambda: clock[0])
+    assert other.pending() == ["day-1", "day-2", "day-3"]
+    assert all(other.run(i, "second", make) for i in other.pending())
+    make("day-1").write.mode("overwrite").parquet(ledger.output_path("day-1", token))
+    with pytest.raises(StaleToken):
+        ledger.finish("day-1", token)
+    got = spark.read.parquet(*other.results())
+    assert got.count() == 100 and got.select("id").distinct().count() == 100
