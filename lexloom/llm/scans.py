@@ -6,6 +6,7 @@ plain rules say only what the surest lines are, as weak seeds.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -312,7 +313,6 @@ def train(featured: DataFrame, rounds: int = 12, trust: float = 100.0, least_gai
     return model if model is not None else fit_model(np.zeros(len(STATES) * (1 + len(STATES) + SYMBOLS)))
 
 
-TOKEN = re.compile(r"\S+")
 _STRIP = ".,;:«»“”\"?[]{}–—'’‘"
 _PIECE = re.compile("[^-‐‑/]+")
 _OWN_HYPHEN = re.compile("[^\\W\\d_]+(?:[-‐‑][^\\W\\d_]+)+")
@@ -324,22 +324,32 @@ def _inner(t: str, chars: str) -> tuple[int, str]:
     return len(t) - len(u), u.rstrip(chars)
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _token_words(t: str) -> tuple[tuple[str, int], ...]:
+    """The words in a token between blanks, and where they begin in it."""
+    out = []
+    at, t = _inner(t, _STRIP)
+    if ")" in t or t.startswith("(") and len(t) < 4:
+        k, t = _inner(t, "()")
+        at += k
+    for q in _PIECE.finditer(t):
+        k, w = _inner(q[0], _STRIP + ")")
+        letters = sum(map(str.isalpha, w))
+        if letters >= 2 and letters * 2 >= len(w):
+            out.append((w, at + q.start() + k))
+    return tuple(out)
+
+
 def _tokens(line: str) -> list[tuple[str, int]]:
     """(word, place) of a line, lower-case, with characters a scan may have put into them; words of too few letters are left out."""
-    out = []
     low = line.lower()
     if len(low) != len(line):  # a letter whose small form is longer: places are those of the line as it stands
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
-    for m in TOKEN.finditer(low):
-        at, t = _inner(m[0], _STRIP)
-        if ")" in t or t.startswith("(") and len(t) < 4:
-            k, t = _inner(t, "()")
-            at += k
-        for q in _PIECE.finditer(t):
-            k, w = _inner(q[0], _STRIP + ")")
-            letters = sum(map(str.isalpha, w))
-            if letters >= 2 and letters * 2 >= len(w):
-                out.append((w, m.start() + at + q.start() + k))
+    out, at = [], 0
+    for t in low.split():
+        at = low.index(t, at)
+        out += [(w, at + k) for w, k in _token_words(t)]
+        at += len(t)
     return out
 
 
@@ -358,7 +368,6 @@ def read_lines(featured: DataFrame, id_col: str, model: Model) -> DataFrame:
     heads, numbers and blank lines, and where that half begins in it.
     """
     kind = featured.schema[id_col].dataType.simpleString()
-    words_type = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int32())]))
     cut_type = pa.struct([("mark", pa.string()), ("left", pa.string()), ("right", pa.string()), ("at", pa.int32()), ("page", pa.int32()), ("line_no", pa.int32()), ("lead", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,13 +396,16 @@ def read_lines(featured: DataFrame, id_col: str, model: Model) -> DataFrame:
                         found = [w for w in found if w[1] >= taken[i]]
                     if cuts[i]:
                         found = [w for w in found if w[1] + len(w[0]) <= cuts[i]["at"]]
-                    words[i] = [{"word": w, "at": at} for w, at in found]
+                    words[i] = found
                     if any(h in texts[i] for h in "-‐‑"):
                         s = texts[i][taken.get(i, 0) : cuts[i]["at"] if cuts[i] else None]
                         compounds[i] = [t for t in (w.strip(_STRIP + "()") for w in s.lower().split()) if _OWN_HYPHEN.fullmatch(t)]
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), np.diff(offsets))))
             cols = [ids, pa.array(page, pa.int32()), pa.array(n, pa.int32()), pa.array([STATES[s] for s in states], pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, words_type), pa.array(compounds, pa.list_(pa.string())), pa.array(cuts, cut_type)], names=[id_col, "page", "line_no", "state", "text", "words", "compounds", "cut"])
+            flat = [w for line in words for w in line]
+            said = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([at for _, at in flat], pa.int32())], names=["word", "at"])
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(line) for line in words])]), pa.int32()), said)
+            yield pa.RecordBatch.from_arrays([*cols, held, pa.array(compounds, pa.list_(pa.string())), pa.array(cuts, cut_type)], names=[id_col, "page", "line_no", "state", "text", "words", "compounds", "cut"])
 
     return featured.select(F.col(f"`{id_col}`"), "p", "page", "n", "text", "symbol").mapInArrow(run, f"`{id_col}` {kind}, {LINES}")
 
