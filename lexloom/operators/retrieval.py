@@ -6,48 +6,61 @@ queries meet documents in an equi-join on terms, never pair by pair.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.operators.ranking import running_total
 from lexloom.session import materialize, spread
 
 K1, B = 1.5, 0.75  # fixed values of the ranking function
 
 
-def tokenised(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, tokens, dl): documents with at least one token, tokenised once and written to the shared folder."""
-    t = spread(docs).select(F.col(id_col), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    return materialize(t.withColumn("dl", F.size("tokens")), "tokens")
-
+def term_hits(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of the documents' tokens that occur in `terms`, written once; and for each document a row whose
+    term is empty, so that lengths of documents without a hit are known.
 
-def term_hits(docs: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of the tokens of `docs` (id, tokens, dl) that occur in `terms`: others drop out before the shuffle."""
-    one = docs.select(id_col, "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    return one.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    One narrow pass tokenises the texts; all other tokens drop out before anything is shuffled or written.
+    """
+    t = spread(docs).select(F.col(id_col), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    one = t.select(id_col, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    kept = one.join(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi")
+    return materialize(kept.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")), "hits")
 
 
-def bm25(docs: DataFrame, id_col: str, queries: DataFrame, query_col: str = "indicator_id") -> DataFrame:
+def bm25(hits: DataFrame, id_col: str, queries: DataFrame, query_col: str = "indicator_id") -> DataFrame:
     """(query, id, bm25): sum over query terms, repeats counting, of ln(1 + (N - n + .5) / (n + .5)) · tf(k1 + 1) / (tf + k1(1 - b + b·dl/avgdl)).
 
-    `docs` is as `tokenised` gives it, `queries` has the query, term and qtf. The texts are read once for their lengths
-    and once for the terms that queries use.
+    `hits` is as `term_hits` gives it, `queries` has the query, term and qtf.
     """
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = term_hits(docs, id_col, queries)
-    df = hits.groupBy("term").agg(F.count("*").alias("n"))
+    stats = hits.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    found = hits.where("term <> ''")
+    df = found.groupBy("term").agg(F.count("*").alias("n"))
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     idf = F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.join(df, "term").join(queries, "term").groupBy(query_col, id_col).agg(F.sum(part).alias("bm25"))
+    return found.join(df, "term").join(queries, "term").groupBy(query_col, id_col).agg(F.sum(part).alias("bm25"))
 
 
-def max_norm(scores: DataFrame, by: str, score: str) -> DataFrame:
-    """Scores by the largest of their query; a largest of 0 or less counts as 1."""
-    top = F.max(score).over(Window.partitionBy(by))
-    return scores.withColumn("norm", F.col(score) / F.when(top > 0, top).otherwise(F.lit(1.0)))
+def max_norm(scores: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Adds for each score its value by the largest of its group (`<score>_norm`); a largest of 0 or less counts as 1.
+
+    The largest values are aggregates that are joined, so no task holds a group.
+    """
+    top = scores.groupBy(*(F.col(k).alias(f"_by_{k}") for k in by)).agg(*(F.max(c).alias(f"_{c}") for c in columns))
+    joined = scores.join(top, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by)))
+    norm = {f"{c}_norm": F.col(c) / F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.lit(1.0)) for c in columns}
+    return joined.withColumns(norm).drop(*(f"_{c}" for c in columns), *(f"_by_{k}" for k in by))
+
+
+def places(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """Adds `name`: the place of a row in its group, from 1, in an order without ties, for groups of any size."""
+    return running_total(df.withColumn("_one", F.lit(1)), by, order, "_one", name).withColumn(name, F.col(name) + 1).drop("_one")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -96,23 +109,24 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
 
 def rrf(df: DataFrame, by: list[str], item: str, signals: list[str], k: int = 60) -> DataFrame:
     """(by, item, rrf): sum over signals of 1 / (k + place), places from 1, higher values first, ties by item. A null value has no place."""
-    out = None
-    for s in signals:
-        w = Window.partitionBy(*by).orderBy(F.desc(s), item)
-        one = df.where(F.col(s).isNotNull()).select(*by, item, (1 / (k + F.row_number().over(w))).alias("part"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*by, item).agg(F.sum("part").alias("rrf"))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals))).alias("x")
+    long = df.select(*by, item, each).select(*by, item, "x.signal", "x.value").where("value is not null")
+    placed = places(long, [*by, "signal"], [F.desc("value"), F.col(item)], "place")
+    return placed.groupBy(*by, item).agg(F.sum(1 / (k + F.col("place"))).alias("rrf"))
 
 
 def diverse(df: DataFrame, by: str, law: str, item: str, score: str, k: int, per_law: int) -> DataFrame:
-    """(…, rank): first the `per_law` best of every law by rank in law and score, then the best of the rest, `k` in all."""
-    in_law = F.row_number().over(Window.partitionBy(by, law).orderBy(F.desc(score), item))
-    a = df.withColumn("in_law", in_law)
-    first = F.when(F.col("in_law") <= per_law, F.col("in_law")).otherwise(F.lit(per_law + 1))
-    return a.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(first, F.desc(score), item))).where(F.col("rank") <= k)
+    """(…, rank): first the `per_law` best of every law by rank in law and score, then the best of the rest, `k` in all.
+
+    Both are limits by group that cut before the shuffle; the rest are what is not among the first.
+    """
+    order = [F.desc(score), F.col(item)]
+    first = top_k(df, [by, law], order, per_law).withColumnRenamed("rank", "in_law")
+    rest = top_k(df.join(first.select(by, law, item), [by, law, item], "left_anti"), [by], order, k).drop("rank").withColumn("in_law", F.lit(per_law + 1))
+    return top_k(first.unionByName(rest), [by], [F.col("in_law"), *order], k)
 
 
 def round_robin(df: DataFrame, bucket: str, order: list, item: str) -> DataFrame:
     """(item, turn, bucket): the buckets' lists interleaved, an item where it comes first."""
-    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
-    return turn.withColumn("k", F.row_number().over(Window.partitionBy(item).orderBy("turn", bucket))).where("k = 1").select(item, "turn", bucket)
+    turn = places(df, [bucket], order, "turn")
+    return turn.groupBy(item).agg(F.min(F.struct("turn", bucket)).alias("m")).select(item, "m.turn", f"m.{bucket}")

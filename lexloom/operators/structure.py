@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 #: A line that opens a provision, in the drafting conventions of the corpus. Java and RE2 read it alike.
-BOUNDARY = r"^\s*(?:Section [0-9]+[A-Z]?\.?|PART [0-9]+|Pasal [0-9]+|BAB [0-9]+|Điều [0-9]+|Chương [0-9]+|Статья [0-9]+|Глава [0-9]+|第[0-9]+条|[0-9]{1,3}[.\t ] ?\S|Q[0-9]+:)"
+BOUNDARY = r"^\s*(?:Section [0-9]+[A-Z]?\.?|PART [0-9]+|Pasal [0-9]+|BAB [0-9]+|Điều [0-9]+|Chương [0-9]+|Статья [0-9]+|Глава [0-9]+|第\s*[0-9一二三四五六七八九十百千零〇两]+\s*条|[0-9]{1,3}\s*(?:д[үу]г[эа]{0,2}р|дэх|дахь)\s+з[үу]йл|[0-9]{1,3}[.\t ] ?\S|Q[0-9]+:)"
 
 
 def in_document() -> WindowSpec:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexloom.functions import text as T
 from lexloom.operators import retrieval as R
 from lexloom.plans.text_plans import tokens_sql
+from lexloom.session import materialize
 from lexloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -28,17 +28,19 @@ def _queries(spark, d):
     return r.select("indicator_id", F.explode(T.tokens(F.col("law_name"))).alias("term")).groupBy("indicator_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _tokenised(spark, d):
+def _hits(spark, d, queries):
+    """Terms of titles and whole texts that some query has."""
     doc = table(spark, d, "documents").select("doc_id", "title", "text")
-    return R.tokenised(doc, "doc_id", T.tokens(F.concat_ws(" ", "title", "text")))
+    return R.term_hits(doc, "doc_id", T.tokens(F.concat_ws(" ", "title", "text")), queries)
 
 
 def _bm25(spark, d):
-    return R.bm25(_tokenised(spark, d), "doc_id", _queries(spark, d))
+    q = _queries(spark, d)
+    return R.bm25(_hits(spark, d, q), "doc_id", q)
 
 
 BM25 = f"""q AS (SELECT indicator_id, term, count(*) AS qtf FROM (SELECT indicator_id, unnest({tokens_sql("law_name")}) AS term FROM ref_row WHERE law_name IS NOT NULL AND indicator_id IS NOT NULL) GROUP BY 1, 2),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql("concat_ws(' ', title, substring(text, 1, 2048))")}) AS term FROM documents) GROUP BY 1, 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql("concat_ws(' ', title, text)")}) AS term FROM documents) GROUP BY 1, 2),
 dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
 bm AS (SELECT indicator_id, doc_id, sum(qtf * ln(1 + (n_docs - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2)"""
 
@@ -51,14 +53,14 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {BM25} SELECT indicator_id, doc_id, round(bm25 / max(bm25) OVER (PARTITION BY indicator_id), 5) AS norm FROM bm")
 def bm25_maxnorm(spark, d):
-    return R.max_norm(_bm25(spark, d), "indicator_id", "bm25").select("indicator_id", "doc_id", F.round("norm", 5).alias("norm"))
+    return R.max_norm(_bm25(spark, d), ["indicator_id"], ["bm25"]).select("indicator_id", "doc_id", F.round("bm25_norm", 5).alias("norm"))
 
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
 @query(
-    f"""WITH q AS (SELECT label AS qid, min(vec_id) AS v FROM embeddings GROUP BY 1), s AS (SELECT q.qid, b.vec_id, ({COS} + 1) / 2 AS dense FROM q JOIN embeddings a ON a.vec_id = q.v, embeddings b WHERE b.vec_id <> a.vec_id)
+    f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, ({COS} + 1) / 2 AS dense FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id)
     SELECT qid, vec_id, rank, round(dense, 5) AS dense FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dense, 7) DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 )
 def dense_cosine_topk(spark, d):
@@ -77,10 +79,9 @@ BY = ["run_id", "indicator_id"]
 
 
 def _fused(spark, d):
-    r = _dedup_ranks(spark, d)
-    w = Window.partitionBy(*BY)
-    kw, sem = (F.coalesce(F.col(s) / F.when(F.max(s).over(w) > 0, F.max(s).over(w)).otherwise(1.0), F.lit(0.0)) for s in ("keyword", "semantic"))
-    return r.withColumn("fused", F.round(0.65 * kw + 0.35 * sem, 9))
+    r = R.max_norm(_dedup_ranks(spark, d), BY, ["keyword", "semantic"])
+    kw, sem = (F.coalesce(F.col(f"{s}_norm"), F.lit(0.0)) for s in ("keyword", "semantic"))
+    return r.withColumn("fused", F.round(0.65 * kw + 0.35 * sem, 9)).drop("keyword_norm", "semantic_norm")
 
 
 FUSED = f"{DR}, fu AS (SELECT *, round(0.65 * coalesce(keyword / CASE WHEN max(keyword) OVER w > 0 THEN max(keyword) OVER w ELSE 1 END, 0) + 0.35 * coalesce(semantic / CASE WHEN max(semantic) OVER w > 0 THEN max(semantic) OVER w ELSE 1 END, 0), 9) AS fused FROM dr WINDOW w AS (PARTITION BY run_id, indicator_id))"
@@ -110,7 +111,7 @@ def phrase_bonus(spark, d):
 def sibling_penalty(spark, d):
     """What a document loses where a sibling of the indicator's pillar hits it with more terms. Per document there are at most as many rows as indicators."""
     q = _queries(spark, d)
-    h = R.term_hits(_tokenised(spark, d), "doc_id", q).join(q, "term").groupBy("indicator_id", "doc_id").agg(F.count("*").alias("hits")).withColumn("pillar", F.substring_index("indicator_id", "-", 1))
+    h = _hits(spark, d, q).join(q, "term").groupBy("indicator_id", "doc_id").agg(F.count("*").alias("hits")).withColumn("pillar", F.substring_index("indicator_id", "-", 1))
     a, b = h.alias("a"), h.alias("b")
     j = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.pillar") == F.col("b.pillar")) & (F.col("a.indicator_id") != F.col("b.indicator_id")))
     more = F.col("b.hits") - F.col("a.hits")
@@ -123,11 +124,11 @@ def sibling_penalty(spark, d):
 )
 def rerank_pool_blend(spark, d):
     """The first 15 of each ranking blended with the sigmoid of the reranker's score; the others are halved."""
-    f = _fused(spark, d)
-    place = F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("fused"), "doc_id"))
+    f = materialize(_fused(spark, d), "fused")
+    pool = R.top_k(f.where("doc_id is not null"), BY, [F.desc("fused"), "doc_id"], 15).select(*BY, "doc_id", F.lit(True).alias("pooled"))
     ce = 1 / (1 + F.exp(-F.coalesce(F.least(F.col("cross"), F.lit(50.0)), F.lit(0.0))))
-    both = f.select(*BY, "doc_id", "fused", ce.alias("ce"), place.alias("place"))
-    return both.select(*BY, "doc_id", F.round(F.when(F.col("place") <= 15, 0.5 * F.col("fused") + 0.5 * F.col("ce")).otherwise(0.5 * F.col("fused")), 6).alias("score"))
+    both = f.join(pool, [*BY, "doc_id"], "left")
+    return both.select(*BY, "doc_id", F.round(F.when(F.col("pooled"), 0.5 * F.col("fused") + 0.5 * ce).otherwise(0.5 * F.col("fused")), 6).alias("score"))
 
 
 @query(
@@ -156,9 +157,10 @@ def diverse_shortlist(spark, d):
 )
 def dense_recall_guarantee(spark, d):
     """The ten best of each ranking, and the three best by vectors that are not among them."""
-    k = _fused(spark, d).withColumn("p", F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("fused"), "doc_id")))
-    extra = R.top_k(k.where("p > 10 and semantic is not null"), BY, [F.desc("semantic"), "doc_id"], 3)
-    return k.where("p <= 10").select(*BY, "doc_id", F.lit("fused").alias("lane")).unionByName(extra.select(*BY, "doc_id", F.lit("dense").alias("lane")))
+    f = materialize(_fused(spark, d), "fused")
+    kept = R.top_k(f, BY, [F.desc("fused"), "doc_id"], 10)
+    extra = R.top_k(f.where("semantic is not null").join(kept.select(*BY, "doc_id"), [*BY, "doc_id"], "left_anti"), BY, [F.desc("semantic"), "doc_id"], 3)
+    return kept.select(*BY, "doc_id", F.lit("fused").alias("lane")).unionByName(extra.select(*BY, "doc_id", F.lit("dense").alias("lane")))
 
 
 @query(
@@ -198,7 +200,8 @@ def arg_max_per_group(spark, d):
     SELECT indicator_id, law_name, round(max(fused), 6) AS best, round(avg(fused) FILTER (WHERE k <= 3), 6) AS mean_top3, round(sum(fused) FILTER (WHERE k <= 5), 6) AS sum_top5 FROM p GROUP BY 1, 2"""
 )
 def law_scores(spark, d):
-    p = _fused(spark, d).where("law_name is not null").withColumn("k", F.row_number().over(Window.partitionBy("indicator_id", "law_name").orderBy(F.desc("fused"), "doc_id", "run_id")))
+    # best and sums need no more than each law's five first, which are cut before the shuffle
+    p = R.top_k(_fused(spark, d).where("law_name is not null"), ["indicator_id", "law_name"], [F.desc("fused"), "doc_id", "run_id"], 5).withColumnRenamed("rank", "k")
     return p.groupBy("indicator_id", "law_name").agg(F.round(F.max("fused"), 6).alias("best"), F.round(F.avg(F.when(F.col("k") <= 3, F.col("fused"))), 6).alias("mean_top3"), F.round(F.sum(F.when(F.col("k") <= 5, F.col("fused"))), 6).alias("sum_top5"))
 
 
@@ -209,8 +212,9 @@ def law_scores(spark, d):
 )
 def fusion_sweep(spark, d):
     """One pass over the stored components for every setting of the blend: share of national laws among the first five."""
-    w = Window.partitionBy(*BY)
-    n = _dedup_ranks(spark, d).withColumn("k", F.col("keyword") / F.nullif(F.max("keyword").over(w), F.lit(0.0))).withColumn("s", F.col("semantic") / F.nullif(F.max("semantic").over(w), F.lit(0.0)))
+    r = _dedup_ranks(spark, d)
+    top = r.groupBy(*BY).agg(F.max("keyword").alias("mk"), F.max("semantic").alias("ms"))
+    n = r.join(top, BY).withColumn("k", F.col("keyword") / F.nullif(F.col("mk"), F.lit(0.0))).withColumn("s", F.col("semantic") / F.nullif(F.col("ms"), F.lit(0.0))).drop("mk", "ms")
     c = n.withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.65, 1.0)))))
     score = F.round(F.col("alpha") * F.coalesce("k", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("s", F.lit(0.0)), 9)
     top = R.top_k(c.withColumn("score", score), ["alpha", *BY], [F.desc("score"), "doc_id"], 5)
