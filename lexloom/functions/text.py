@@ -6,15 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HAN = r"\p{IsHan}"
-#: Runs of one script: Chinese, Latin with digits, any other letters.
-TOKEN_RUNS = r"\p{IsHan}+|[\p{IsLatin}0-9]+|[^\p{IsHan}\p{IsLatin}\P{L}]+"
+# Scripts without blanks between words (kana, Chinese, Thai, Lao, Khmer, Myanmar), Latin with its accents,
+# and the other alphabets, which set words apart. Java and RE2 read the ranges alike.
+NO_SPACE = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{0e00}-\x{0e7f}\x{0e80}-\x{0eff}\x{1780}-\x{17ff}\x{1000}-\x{109f}"
+LATIN = r"a-z0-9\x{00c0}-\x{024f}\x{1e00}-\x{1eff}"
+ALPHABETS = r"\x{0370}-\x{03ff}\x{0400}-\x{052f}\x{0530}-\x{058f}\x{0590}-\x{05ff}\x{0600}-\x{06ff}\x{0900}-\x{0dff}\x{10a0}-\x{10ff}"
+TOKEN_RUNS = f"[{NO_SPACE}]+|[{LATIN}]+|[{ALPHABETS}]+"
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words; Chinese runs as overlapping pairs of characters, a single one as itself. Null gives null."""
+    """Lower-case words; a run in a script without blanks as its overlapping pairs of characters, a single one as itself. Null gives null."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN_RUNS})"), 1)
     pairs = lambda r: F.when(
-        r.rlike(f"^{HAN}{{2,}}$"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+        r.rlike(f"^[{NO_SPACE}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     ).otherwise(F.array(r))
     return F.flatten(F.transform(runs, pairs))
 
@@ -96,11 +100,24 @@ def mostly_ascii(c: Column) -> Column:
     return share_of(c, r"[^\x00-\x7F]", 1000) < 0.15
 
 
+# Words that name the kind of a provision, and how Chinese and Mongolian laws number theirs.
+LABEL_WORDS = r"(?i)\b(?:articles?|sections?|regulations?|rules?|clauses?|paragraphs?|paras?|schedules?|arts?|secs?|ss|s|r|reg)\b\.?"
+HAN_ARTICLE = r"第\s*([一二三四五六七八九十百千零〇两0-9]+)\s*[条章节]"
+MONGOLIAN_ARTICLE = r"([0-9]{1,3})\s*(?:д[үу]г[эа]{0,2}р|дэх|дахь)\s+з[үу]йл"
+CITED = r"^\s*([0-9]{1,4}[A-Za-z]{0,2}(?:\.[0-9]{1,3})*)((?:\([^)\s]{1,8}\))*)\s*$"
+
+
 def article_spine(c: Column) -> Column:
-    """The numeric identities that a citation names, sorted: 26(1) gives 26 and 26(1); 20.1.5 gives 20 and 20.1.5."""
-    whole = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+[a-z]?(?:\.[0-9]+)*(?:\([0-9a-z]{1,4}\))*)"), 1)
-    base = F.transform(whole, lambda w: F.regexp_extract(w, r"^([0-9]+[a-z]?)", 1))
-    return F.sort_array(F.array_distinct(F.concat(whole, base)))
+    """The numeric identities that a citation names, sorted: s. 26(1) gives 26 and 26(1); 20.1.5 gives 20 and 20.1.5;
+    第一百零一条 gives 101; 14 дүгээр зүйл gives 14; APP 8 gives app8. Null gives null."""
+    han = F.transform(F.regexp_extract_all(c, F.lit(HAN_ARTICLE), 1), lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint")).otherwise(han_to_int(x)).cast("string"))
+    mongolian = F.regexp_extract_all(F.lower(c), F.lit(MONGOLIAN_ARTICLE), 1)
+    principle = F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\bAPP\s*([0-9]+(?:\.[0-9]+)?)"), 1), lambda x: F.concat(F.lit("app"), x))
+    chunks = F.split(F.regexp_replace(c, LABEL_WORDS, " "), "[;,]| and ")
+    base = F.transform(chunks, lambda x: F.lower(F.regexp_extract(x, CITED, 1)))
+    whole = F.transform(chunks, lambda x: F.lower(F.concat(F.regexp_extract(x, CITED, 1), F.regexp_extract(x, CITED, 2))))
+    root = F.transform(base, lambda x: F.regexp_extract(x, r"^([^.]*)", 1))
+    return F.sort_array(F.array_distinct(F.filter(F.concat(han, mongolian, principle, base, whole, root), lambda x: x.isNotNull() & (x != ""))))
 
 
 def section_key(c: Column) -> Column:
@@ -132,12 +149,13 @@ def han_to_int(c: Column) -> Column:
 
 
 def label(c: Column) -> Column:
-    """A section label in one writing: Section 26A, Pasal 3, Điều 5, Статья 7, 第10条; a bare number is a section."""
+    """A section label in one writing: Section 26A, Pasal 3, Điều 5, Статья 7, 第10条, APP 8.1; a bare number is a section."""
     t = F.trim(F.regexp_replace(c, r"[.:;,\s]+$", ""))
     n = F.upper(F.regexp_extract(t, r"([0-9]+[A-Za-z]?)", 1))
     low = F.lower(t)
     return (
-        F.when(low.rlike(r"^(?:section|sec\.?|s\.?|art\.?|article)?\s*[0-9]+[a-z]?$"), F.concat(F.lit("Section "), n))
+        F.when(low.rlike(r"^(?:app|australian privacy principle|principle)\s*[0-9]"), F.concat(F.lit("APP "), F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1)))
+        .when(low.rlike(r"^(?:section|sec\.?|s\.?|art\.?|article)?\s*[0-9]+[a-z]?$"), F.concat(F.lit("Section "), n))
         .when(low.rlike(r"^pasal\s*[0-9]"), F.concat(F.lit("Pasal "), n))
         .when(low.rlike(r"^điều\s*[0-9]"), F.concat(F.lit("Điều "), n))
         .when(low.rlike(r"^статья\s*[0-9]"), F.concat(F.lit("Статья "), n))

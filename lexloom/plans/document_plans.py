@@ -64,7 +64,7 @@ def truncated_title(spark, d):
 
 
 @query(
-    rf"""WITH {LINES}, s AS (SELECT doc_id, line_no, trim(line) AS line, CAST(regexp_matches(line, '(?:Act|Code|Rules|Regulations|Ordinance|Undang|Peraturan|Luật|Nghị|Закон|Положение|法|条例|办法)') AS INT) * 2 + CAST(regexp_matches(line, '(?:1[89]|20)[0-9][0-9]') AS INT) + CAST(length(trim(line)) BETWEEN 8 AND 90 AS INT) - CAST(regexp_matches(trim(line), '[.;:。]$') AS INT) * 2 AS score FROM ln WHERE line_no <= 12)
+    rf"""WITH {LINES}, s AS (SELECT doc_id, line_no, trim(line) AS line, CAST(regexp_matches(line, '(?:Act|Code|Rules|Regulations|Ordinance|Undang|Peraturan|Luật|Nghị|Закон|Положение|法|条例|办法)') AS INT) * 2 + CAST(regexp_matches(line, '(?:1[89]|20)[0-9][0-9]') AS INT) + CAST(length(trim(line)) BETWEEN 8 AND 90 AS INT) - CAST(regexp_matches(trim(line), '[.;:。]$') AS INT) * 2 AS score FROM ln)
     SELECT doc_id, arg_max(line, struct_pack(s := score, n := -line_no)) AS law_name FROM s WHERE score >= 3 GROUP BY 1"""
 )
 def law_name_recovery(spark, d):

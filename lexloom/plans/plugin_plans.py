@@ -11,12 +11,19 @@ from lexloom.sources.tables import table
 QUERIES, ORACLE = {}, {}
 
 
-def query(f):
+def query(f, sql: str | None = None):
     QUERIES[f.__name__] = f
+    if sql:
+        ORACLE[f.__name__] = sql
     return f
 
 
-@query
+WER_SQL = r"""WITH j AS (SELECT ref_id, target_id, list_filter(string_split_regex(law_name, '\s+'), lambda w: w <> '') AS r, list_filter(string_split_regex(law_label, '\s+'), lambda w: w <> '') AS h
+    FROM ref_row JOIN trace_target USING (workbook_id, indicator_id)), k AS (SELECT *, list_concat(r, h) AS known FROM j),
+  s AS (SELECT *, array_to_string(list_transform(r, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS a, array_to_string(list_transform(h, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS b FROM k)
+SELECT ref_id, target_id, CASE WHEN r IS NULL OR h IS NULL THEN NULL WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(a, b) / len(r), 4) END AS wer FROM s"""
+
+
 def word_error_rate(spark, d):
     """Word error rate of target labels against reference names of the same workbook and indicator."""
     r = table(spark, d, "ref_row").select("workbook_id", "indicator_id", "ref_id", "law_name")
@@ -24,11 +31,30 @@ def word_error_rate(spark, d):
     return r.join(t, ["workbook_id", "indicator_id"]).select("ref_id", "target_id", P.word_error_rate(F.col("law_name"), F.col("law_label")).alias("wer"))
 
 
-@query
+query(word_error_rate, WER_SQL)
+
+# The names of economies and their codes.
+ECONOMIES = {
+    "Singapore": "SG", "Australia": "AU", "Malaysia": "MY", "China": "CN", "People's Republic of China": "CN", "India": "IN", "Republic of India": "IN", "Indonesia": "ID", "Republic of Indonesia": "ID",
+    "Russia": "RU", "Russian Federation": "RU", "Viet Nam": "VN", "Vietnam": "VN", "Thailand": "TH", "Kingdom of Thailand": "TH", "Mongolia": "MN", "Kazakhstan": "KZ", "Lao PDR": "LA", "Laos": "LA", "Lao People's Democratic Republic": "LA",
+}
+ECONOMY_COLUMNS = ["corpus_law", "corpus_version", "provisions", "ref_row", "label_row", "trace_target", "doc_rank", "ocr_result", "documents", "fetched_page"]
+_ALIASES_SQL = ", ".join("('{}', '{}')".format(k.lower().replace("'", "''"), v) for k, v in {**ECONOMIES, **{v: v for v in ECONOMIES.values()}}.items())
+ECONOMY_SQL = f"""WITH a AS (SELECT * FROM (VALUES {_ALIASES_SQL}) t(alias, code)), e AS ({' UNION ALL '.join(f'SELECT economy AS name FROM {t}' for t in ECONOMY_COLUMNS)}), n AS (SELECT name, lower(trim(name)) AS k, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT name, code, n FROM n LEFT JOIN a ON n.k = a.alias"""
+
+
 def economy_resolve(spark, d):
-    names = {"Singapore": "SG", "Australia": "AU", "Malaysia": "MY", "China": "CN", "India": "IN", "Indonesia": "ID", "Russia": "RU", "Russian Federation": "RU", "Viet Nam": "VN", "Vietnam": "VN", "Thailand": "TH", "Mongolia": "MN", "Kazakhstan": "KZ", "Lao PDR": "LA"}
-    typed = spark.createDataFrame([(x,) for x in ("Singapore", " vietnam ", "Rusia", "the russian federation", "Mongola", "Atlantis", None, "")], "name string")
-    return typed.select("name", P.resolve_alias(F.col("name"), names).alias("code"))
+    """The economies of all tables, as they are written there, with their codes; a test has misspelt and longer names."""
+    e = None
+    for t in ECONOMY_COLUMNS:
+        one = table(spark, d, t).select(F.col("economy").alias("name"))
+        e = one if e is None else e.union(one)
+    n = e.groupBy("name").agg(F.count("*").alias("n"))
+    return n.select("name", P.resolve_alias(F.col("name"), {**ECONOMIES, **{v: v for v in ECONOMIES.values()}}).alias("code"), "n")
+
+
+query(economy_resolve, ECONOMY_SQL)
 
 
 @query
