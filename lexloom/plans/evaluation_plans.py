@@ -41,7 +41,9 @@ def kit_known_full(q):
     key = lambda u: q.sub(host_path(q, u), r"\.(?:pdf|html?|aspx)$")
     return f"""WITH a AS (SELECT ref_id, economy, indicator_id, {plain_words(q, "coalesce(law_name, '')")} AS words, {year("coalesce(law_name, '')")} AS years, source_urls FROM ref_row),
       k AS (SELECT economy, indicator_id, {q.rows('laws')} AS law FROM label_row WHERE laws IS NOT NULL), kw AS (SELECT DISTINCT economy, indicator_id, {plain_words(q, 'law')} AS words, {year('law')} AS years FROM k WHERE law IS NOT NULL),
-      by_name AS (SELECT DISTINCT ref_id FROM a JOIN kw ON a.economy = kw.economy AND a.indicator_id = kw.indicator_id WHERE {q.size('kw.words')} > 0 AND {q.size(q.shared('a.words', 'kw.words'))} >= 0.75 * {q.size('kw.words')} AND ({q.size('a.years')} = 0 OR {q.size('kw.years')} = 0 OR {q.size(q.shared('a.years', 'kw.years'))} > 0)),
+      aw AS (SELECT ref_id, economy, indicator_id, years, {q.rows('words')} AS w FROM a), kx AS (SELECT economy, indicator_id, {q.join('words', ' ')} AS name, years AS key_years, {q.size('words')} AS n, {q.rows('words')} AS w FROM kw),
+      met AS (SELECT ref_id, name, years, key_years, max(n) AS n, count(*) AS shared FROM aw JOIN kx USING (economy, indicator_id, w) GROUP BY ref_id, name, years, key_years),
+      by_name AS (SELECT DISTINCT ref_id FROM met WHERE shared >= 0.75 * n AND ({q.size('years')} = 0 OR {q.size('key_years')} = 0 OR {q.size(q.shared('years', 'key_years'))} > 0)),
       au AS (SELECT ref_id, economy, {q.rows('source_urls')} AS u FROM a WHERE source_urls IS NOT NULL), ku AS (SELECT economy, {q.rows('portal_urls')} AS u FROM label_row WHERE portal_urls IS NOT NULL),
       by_url AS (SELECT DISTINCT ref_id FROM (SELECT ref_id, economy, {key('u')} AS p FROM au) x JOIN (SELECT DISTINCT economy, {key('u')} AS p FROM ku) y USING (economy, p) WHERE p <> '')
       SELECT ref_row.ref_id, by_url.ref_id IS NOT NULL AS by_url, by_name.ref_id IS NOT NULL AS by_name FROM ref_row LEFT JOIN by_url ON ref_row.ref_id = by_url.ref_id LEFT JOIN by_name ON ref_row.ref_id = by_name.ref_id"""
@@ -107,14 +109,16 @@ def rank_decay(q):
 
 @query
 def grader_metrics(q):
-    """What a grader that accepts half of a name's words makes of pairs by kind: a law with its own reference row, with a sibling indicator's of its
-    workbook, and with any other's of the economy, chosen by hash."""
-    hashed = "md5(r.ref_id || '/' || t.target_id)"
+    """What a grader that accepts half of a name's words makes of pairs by kind: a reference row with the target of its own indicator, of a sibling
+    indicator of its workbook, and of another workbook of the economy. Rows meet by their places in an order by hash, one with one."""
+    place = lambda by, i: f"row_number() OVER (PARTITION BY {by} ORDER BY md5('5' || {i}), {i})"
     share = lambda a, b: f"{q.size(q.shared(a, b))} >= 0.5 * {q.size(a)} AND {q.size(a)} > 0"
-    return f"""WITH r AS (SELECT ref_id, workbook_id, economy, indicator_id, {plain_words(q, 'law_name')} AS words FROM ref_row WHERE law_name IS NOT NULL), t AS (SELECT target_id, workbook_id, economy, indicator_id, {plain_words(q, 'law_label')} AS words FROM trace_target WHERE law_label IS NOT NULL),
-      pairs AS (SELECT 'positive' AS kind, r.ref_id, t.words AS b, r.words AS a FROM r JOIN t ON r.workbook_id = t.workbook_id AND r.indicator_id = t.indicator_id
-        UNION ALL SELECT 'sibling_negative', r.ref_id, t.words, r.words FROM r JOIN t ON r.workbook_id = t.workbook_id AND r.indicator_id <> t.indicator_id AND split_part(r.indicator_id, '-', 1) = split_part(t.indicator_id, '-', 1)
-        UNION ALL SELECT 'random_negative', ref_id, b, a FROM (SELECT r.ref_id, t.words AS b, r.words AS a, row_number() OVER (PARTITION BY r.ref_id ORDER BY {hashed}) AS k FROM r JOIN t ON r.economy = t.economy AND r.indicator_id = t.indicator_id AND r.workbook_id <> t.workbook_id) x WHERE k <= 2)
+    pillar = "split_part(indicator_id, '-', 1)"
+    side = lambda i, c, t: f"(SELECT {i} AS id, workbook_id, economy, indicator_id, {plain_words(q, c)} AS words, {place('workbook_id, indicator_id', i)} AS own, {place(f'workbook_id, {pillar}', i)} AS kin, {place('economy', i)} AS any_ FROM {t} WHERE {c} IS NOT NULL)"
+    return f"""WITH r AS {side('ref_id', 'law_name', 'ref_row')}, t AS {side('target_id', 'law_label', 'trace_target')},
+      pairs AS (SELECT 'positive' AS kind, r.words AS a, t.words AS b FROM r JOIN t ON r.workbook_id = t.workbook_id AND r.indicator_id = t.indicator_id AND r.own = t.own
+        UNION ALL SELECT 'sibling_negative', r.words, t.words FROM r JOIN t ON r.workbook_id = t.workbook_id AND split_part(r.indicator_id, '-', 1) = split_part(t.indicator_id, '-', 1) AND r.kin = t.kin AND r.indicator_id <> t.indicator_id
+        UNION ALL SELECT 'random_negative', r.words, t.words FROM r JOIN t ON r.economy = t.economy AND r.any_ = t.any_ AND r.workbook_id <> t.workbook_id)
       SELECT kind, count(*) AS graded, round(avg(CASE WHEN {share('a', 'b')} THEN 1e0 ELSE 0e0 END), 6) AS accepted FROM pairs GROUP BY kind"""
 
 
@@ -122,12 +126,12 @@ def grader_metrics(q):
 def weight_simplex(q):
     """Every blend of keyword, semantic and scope in steps of 0.05 and how well it tells the laws that reference rows of the economy name from the
     others: area under the curve by rank sums, the best first. The grid is 231 points, one pass over the scores."""
-    steps = "explode(sequence(0, 20))" if q.spark else "unnest(range(21))"
-    return f"""WITH a AS (SELECT {steps} AS i), g AS (SELECT a.i / 20e0 AS wk, b.i / 20e0 AS ws, (20 - a.i - b.i) / 20e0 AS wc FROM a JOIN a b ON a.i + b.i <= 20),
-      cited AS (SELECT DISTINCT economy, law_name FROM ref_row WHERE law_name IS NOT NULL),
+    steps = q.rows(q.array(*map(str, range(21))))
+    return f"""WITH cited AS (SELECT DISTINCT economy, law_name FROM ref_row WHERE law_name IS NOT NULL),
       one AS (SELECT run_id, indicator_id, doc_id, max(economy) AS economy, max(law_name) AS law_name, coalesce(max(keyword), 0) AS k, coalesce(max(semantic), 0) AS s, coalesce(max(scope), 0) AS c FROM doc_rank GROUP BY run_id, indicator_id, doc_id),
       x AS (SELECT k / (SELECT max(k) FROM one) AS k, s / (SELECT max(s) FROM one) AS s, c / (SELECT max(c) FROM one) AS c, cited.law_name IS NOT NULL AS hit FROM one LEFT JOIN cited ON one.economy = cited.economy AND one.law_name = cited.law_name),
-      f AS (SELECT wk, ws, wc, round(wk * k + ws * s + wc * c, 6) AS f, count(*) AS n, count(*) FILTER (WHERE hit) AS p FROM x CROSS JOIN g GROUP BY 1, 2, 3, 4),
+      i AS (SELECT *, {steps} AS i FROM x), g AS (SELECT *, {steps} AS j FROM i), w AS (SELECT i / 20e0 AS wk, j / 20e0 AS ws, (20 - i - j) / 20e0 AS wc, k, s, c, hit FROM g WHERE i + j <= 20),
+      f AS (SELECT wk, ws, wc, round(wk * k + ws * s + wc * c, 6) AS f, count(*) AS n, count(*) FILTER (WHERE hit) AS p FROM w GROUP BY 1, 2, 3, 4),
       r AS (SELECT *, coalesce(sum(n - p) OVER (PARTITION BY wk, ws, wc ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n - p) / 2e0 AS below FROM f)
       SELECT wk, ws, wc, round(sum(p * below) / (sum(p) * sum(n - p)), 6) AS auc FROM r GROUP BY wk, ws, wc HAVING sum(p) > 0 AND sum(n - p) > 0"""
 
@@ -166,8 +170,8 @@ def depth_config_eval(q):
     depths = q.rows(q.array("5", "10", "20", "40"))
     return f"""WITH one AS (SELECT run_id, indicator_id, doc_id, max(economy) AS economy, max(law_name) AS law_name, max(coalesce(keyword, 0) + coalesce(semantic, 0)) AS score FROM doc_rank WHERE doc_id IS NOT NULL GROUP BY run_id, indicator_id, doc_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY run_id, indicator_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM one), t AS (SELECT DISTINCT economy, law_name FROM ref_row WHERE law_name IS NOT NULL),
-      h AS (SELECT r.place, t.law_name IS NOT NULL AS hit FROM r LEFT JOIN t ON r.economy = t.economy AND r.law_name = t.law_name), c AS (SELECT {depths} AS depth),
-      k AS (SELECT depth, count(*) AS calls, count(*) FILTER (WHERE hit) AS hits FROM h JOIN c ON h.place <= c.depth GROUP BY depth)
+      h AS (SELECT r.place, t.law_name IS NOT NULL AS hit FROM r LEFT JOIN t ON r.economy = t.economy AND r.law_name = t.law_name), c AS (SELECT *, {depths} AS depth FROM h WHERE place <= 40),
+      k AS (SELECT depth, count(*) AS calls, count(*) FILTER (WHERE hit) AS hits FROM c WHERE place <= depth GROUP BY depth)
       SELECT depth, calls, hits, round(hits / (SELECT count(*) FROM h WHERE hit), 6) AS recall, hits - coalesce(lag(hits) OVER (ORDER BY depth), 0) AS added FROM k"""
 
 
@@ -299,11 +303,12 @@ def duplicate_labels_three(q):
 
 @query
 def bakeoff_pairs(q):
-    """A set to compare graders on: of each indicator up to five pairs of a reference row with its rationale and five with another's of the
-    economy, chosen by a seeded hash; rationales that many rows share are left out."""
+    """A set to compare graders on: of each indicator up to five pairs of a reference row with its rationale and five with that of another pillar's row
+    of the economy, the next in an order by a seeded hash; rationales that many rows share are left out."""
     return """WITH r AS (SELECT ref_id, economy, indicator_id, law_name, rationale, count(*) OVER (PARTITION BY rationale) AS same FROM ref_row WHERE law_name IS NOT NULL AND rationale IS NOT NULL), f AS (SELECT * FROM r WHERE same <= 3),
       pos AS (SELECT indicator_id, ref_id, ref_id AS other_id, 1 AS label, row_number() OVER (PARTITION BY indicator_id ORDER BY md5('11' || ref_id)) AS k FROM f),
-      neg AS (SELECT a.indicator_id, a.ref_id, b.ref_id AS other_id, 0 AS label, row_number() OVER (PARTITION BY a.indicator_id ORDER BY md5('11' || a.ref_id || '/' || b.ref_id)) AS k FROM f a JOIN f b ON a.economy = b.economy AND a.indicator_id <> b.indicator_id AND split_part(a.indicator_id, '-', 1) <> split_part(b.indicator_id, '-', 1))
+      o AS (SELECT *, row_number() OVER (PARTITION BY economy ORDER BY md5('11' || ref_id), ref_id) AS place FROM f),
+      neg AS (SELECT a.indicator_id, a.ref_id, b.ref_id AS other_id, 0 AS label, row_number() OVER (PARTITION BY a.indicator_id ORDER BY md5('11' || a.ref_id)) AS k FROM o a JOIN o b ON a.economy = b.economy AND a.place = b.place - 1 WHERE split_part(a.indicator_id, '-', 1) <> split_part(b.indicator_id, '-', 1))
       SELECT indicator_id, ref_id, other_id, label FROM pos WHERE k <= 5 UNION ALL SELECT indicator_id, ref_id, other_id, label FROM neg WHERE k <= 5"""
 
 

@@ -155,10 +155,11 @@ def name_folds(q):
 
 @query
 def type_compatible(q):
-    """Whether a label and the reference name of its workbook and indicator agree on the kind of instrument: what the label says the name says too."""
+    """Whether a label and the reference name of its workbook and indicator agree on the kind of instrument: what the label says the name says too.
+    Labels and names of equal place by id meet."""
     a, b = bilingual(q, "t.law_label"), bilingual(q, "r.law_name")
     clash = " OR ".join(f"({q.has(a, rf'\b{w}\b')} AND NOT {q.has(b, rf'\b{w}\b')})" for w in TYPES)
-    return f"SELECT r.ref_id, t.target_id, NOT ({clash}) AS compatible FROM ref_row r JOIN trace_target t ON r.workbook_id = t.workbook_id AND r.indicator_id = t.indicator_id WHERE r.law_name IS NOT NULL AND t.law_label IS NOT NULL"
+    return f"SELECT r.ref_id, t.target_id, NOT ({clash}) AS compatible FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY ref_id) AS place FROM ref_row WHERE law_name IS NOT NULL) r JOIN (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY target_id) AS place FROM trace_target WHERE law_label IS NOT NULL) t ON r.workbook_id = t.workbook_id AND r.indicator_id = t.indicator_id AND r.place = t.place"
 
 
 def short_ref(q, c: str) -> str:

@@ -475,40 +475,6 @@ def tumbling_usage(spark, d):
 
 # ---- access rules, crawls, reports --------------------------------------------------------------------------------
 
-RULES = [("lex", "*", "/search", False), ("lex", "*", "/laws", True), ("lex", "*", "/laws/0", False), ("lex", "bot", "/", True)]
-
-
-@query(
-    "WITH r AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{h}', '{a}', '{p}', {str(x).lower()})" for h, a, p, x in RULES)
-    + """) t(host, agent, pattern, allow)), u AS (SELECT DISTINCT url, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM fetched_page),
-    m AS (SELECT url, path, r.*, row_number() OVER (PARTITION BY url ORDER BY length(pattern) DESC, allow DESC) AS k FROM u LEFT JOIN r ON r.agent = '*' AND starts_with(path, pattern)) SELECT url, coalesce(allow, true) AS allowed FROM m WHERE k = 1"""
-)
-def robots_longest_match(spark, d):
-    """Whether an address may be fetched: the longest matching pattern wins, permission wins ties, no rule permits."""
-    rules = spark.createDataFrame([r[2:] for r in RULES if r[1] == "*"], "pattern string, allow boolean")
-    every = rules.agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("rules"))  # one row: the rules of one file
-    u = table(spark, d, "fetched_page").select("url").distinct().withColumn("path", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1)).withColumn("rules", every.select("rules").scalar())
-    best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["pattern"])))
-    return u.select("url", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
-
-
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l.economy AS a, v.fmt AS b FROM corpus_law l JOIN corpus_version v USING (law_id) WHERE v.fmt IS NOT NULL UNION SELECT DISTINCT v.fmt, v.state FROM corpus_version v WHERE v.fmt IS NOT NULL AND v.state IS NOT NULL),
-    c(node, depth) AS (SELECT 'SG', 0 UNION SELECT e.b, c.depth + 1 FROM c JOIN e ON e.a = c.node WHERE c.depth < 2) SELECT node, min(depth) AS depth FROM c GROUP BY 1"""
-)
-def bounded_crawl(spark, d):
-    """Nodes within two steps of a start, each at its least depth: one join a step, bounded by the depth."""
-    v = table(spark, d, "corpus_version").where("fmt is not null").select("law_id", "fmt", "state")
-    e = table(spark, d, "corpus_law").select("law_id", "economy").join(v, "law_id").select(F.col("economy").alias("a"), F.col("fmt").alias("b"))
-    e = e.unionByName(v.where("state is not null").select(F.col("fmt").alias("a"), F.col("state").alias("b"))).distinct()
-    level = seen = spark.createDataFrame([("SG", 0)], "node string, depth int")
-    for depth in (1, 2):
-        level = level.join(e, level.node == e.a).select(F.col("b").alias("node"), F.lit(depth).alias("depth")).distinct()
-        seen = seen.unionByName(level)
-    return seen.groupBy("node").agg(F.min("depth").alias("depth"))
-
-
 @query(f"SELECT economy, {CLEAN_SQL.format(c='title')} AS title, source_url, law_number, status FROM corpus_law WHERE status = 'active'")
 def export_projection(spark, d):
     """The rows and columns of an export."""

@@ -237,3 +237,46 @@ def location_references(q):
     texts = q.map("pages", "p", "length(coalesce(p.text, ''))")
     total = f"aggregate({texts}, 0, (a, v) -> a + v)" if q.spark else f"CAST(coalesce(list_sum({texts}), 0) AS BIGINT)"
     return f"""SELECT ocr_id, CASE WHEN {q.has('text', chr(12) + '[0-9]+' + chr(12))} THEN 'p. ' || {q.one('text', chr(12) + '([0-9]+)' + chr(12))} WHEN {n} > 0 THEN 'p. ~1 of ' || CAST({n} AS {q.string}) ELSE '#doc' || coalesce(doc_id, '') END AS location, coalesce(CASE WHEN {n} > 0 THEN CAST({total} AS BIGINT) END, 0) AS chars FROM ocr_result"""
+
+
+# ---- access rules ---------------------------------------------------------------------------------------------------
+
+AGENT = "lexloom-reader/1.0"
+# Files of access rules of the hosts of the fixtures; a host that is not here could not be read.
+ROBOTS = {
+    "lex.sg.example": "User-agent: *\nDisallow: /laws/\nCrawl-delay: 5\n\nUser-agent: lexloom\nUser-agent: otherbot\nDisallow: /laws/0\nAllow: /laws/0a\nDisallow: /*?f=1.\n",
+    "lex.au.example": "# open\nUser-agent: *\nDisallow:\n",
+    "lex.my.example": "User-agent: *\nDisallow: /\nAllow: /laws/*?f=\nDisallow: /laws/f\nAllow: /laws/f\n",
+    "lex.cn.example": "User-agent: lex\nDisallow: /laws/1\nUser-agent: lexloom-reader\nDisallow: /laws/*.$\nDisallow: /laws/*0$\n",
+    "lex.vn.example": "User-agent: otherbot\nDisallow: /\n",
+    "lex.ru.example": "User-agent: *\nAllow: /laws\nDisallow: /laws/2\n",
+}
+#: Hosts whose file can't be read and that are fetched by a written exception all the same.
+EXCEPTIONS = {"lex.th.example": "agreed in writing"}
+# The same rules by host as patterns, for the agent above: (host, pattern, its length, allowed).
+RULES = [
+    ("lex.sg.example", "^/laws/0", 7, False), ("lex.sg.example", "^/laws/0a", 8, True), ("lex.sg.example", "^/.*[?]f=1[.]", 7, False), ("lex.my.example", "^/", 1, False), ("lex.my.example", "^/laws/.*[?]f=", 10, True),
+    ("lex.my.example", "^/laws/f", 7, False), ("lex.my.example", "^/laws/f", 7, True), ("lex.cn.example", "^/laws/.*[.]$", 9, False), ("lex.cn.example", "^/laws/.*0$", 9, False), ("lex.ru.example", "^/laws", 5, True), ("lex.ru.example", "^/laws/2", 7, False),
+]
+_VALUES = ", ".join(f"('{h}', '{p}', {n}, {str(a).lower()})" for h, p, n, a in RULES)
+ROBOTS_SQL = f"""WITH r AS (SELECT * FROM (VALUES {_VALUES}) t(host, rule, n, allow)), f AS (SELECT * FROM (VALUES {', '.join(f"('{h}')" for h in ROBOTS)}) t(host)), e AS (SELECT * FROM (VALUES {', '.join(f"('{h}')" for h in EXCEPTIONS)}) t(host)),
+  u AS (SELECT DISTINCT coalesce(final_url, url) AS url FROM fetched_page), p AS (SELECT url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/[^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/[^#]*)', 1) END AS path FROM u),
+  m AS (SELECT p.url, p.host, max(struct_pack(n := r.n, allow := r.allow)) AS best FROM p LEFT JOIN r ON p.host = r.host AND regexp_matches(p.path, r.rule) GROUP BY 1, 2)
+SELECT m.url, CASE WHEN f.host IS NULL THEN e.host IS NOT NULL ELSE coalesce(best.allow, true) END AS allowed, CASE WHEN f.host IS NULL AND e.host IS NOT NULL THEN 'exception' WHEN f.host IS NULL THEN 'unreadable' WHEN coalesce(best.allow, true) THEN '' ELSE 'disallowed' END AS reason FROM m LEFT JOIN f ON m.host = f.host LEFT JOIN e ON m.host = e.host"""
+
+
+def robots_decisions(spark, d):
+    """Whether each address may be fetched, and why not: the group of the most specific agent, the longest pattern that matches, permission
+    on ties; hosts whose file can't be read only by a written exception."""
+    from pyspark.sql import functions as F
+
+    from lexloom.sources.files import decide, robots_rules
+    from lexloom.sources.tables import table
+
+    files = spark.createDataFrame(list(ROBOTS.items()), "host string, body string")
+    exceptions = spark.createDataFrame(list(EXCEPTIONS.items()), "host string, why string")
+    pages = table(spark, d, "fetched_page").select(F.coalesce("final_url", "url").alias("url")).distinct()
+    return decide(pages, robots_rules(files), files.select("host"), exceptions, AGENT)
+
+
+QUERIES["robots_decisions"], ORACLE["robots_decisions"] = robots_decisions, ROBOTS_SQL

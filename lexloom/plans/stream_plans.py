@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.sources.tables import table
 from lexloom.streaming import events as E
 
 QUERIES, ORACLE = {}, {}
@@ -19,10 +20,27 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour_, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+BATCHES, LATE = 6, 200  # batches in which the events arrive, and hours that one in ten is late: more than a batch spans
+ARRIVALS = f"""e AS (SELECT *, floor(epoch(ts)) AS s FROM events), span AS (SELECT min(s) AS a, max(s) AS b FROM e),
+  arr AS (SELECT e.*, CAST(floor((s + CASE WHEN event_id % 10 = 0 THEN {LATE * 3600} ELSE 0 END - a) / ceil((b + {LATE * 3600} + 1 - a) / {BATCHES})) AS INT) AS batch FROM e, span),
+  wm AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 2 HOUR AS mark FROM arr GROUP BY batch)"""
+
+
+@query(
+    f"WITH {ARRIVALS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour_, event_type, count(*) AS n, round(sum(value), 4) AS total FROM arr JOIN wm USING (batch) WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark GROUP BY 1, 2"
+)
 def stream_usage(spark, d):
-    out = E.collect_stream(E.usage_by_hour(E.read_events(spark, d)), "complete")
-    return out.select(F.to_timestamp_ntz(F.date_format("hour_", "yyyy-MM-dd HH:mm:ss")).alias("hour_"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Usage by hour and type from events that arrive in six batches; what comes when the watermark of the batch before has passed its hour is dropped."""
+    out = E.collect_stream(E.usage_by_hour(E.arriving(spark, d, BATCHES, LATE)), "update")
+    last = out.groupBy("hour_", "event_type").agg(F.max(F.struct("n", "total")).alias("m"))
+    return last.select(F.to_timestamp_ntz(F.date_format("hour_", "yyyy-MM-dd HH:mm:ss")).alias("hour_"), "event_type", "m.n", F.round("m.total", 4).alias("total"))
+
+
+@query(f"WITH {ARRIVALS} SELECT CAST(count(*) AS BIGINT) AS late FROM arr JOIN wm USING (batch) WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark")
+def stream_late_rows(spark, d):
+    """How many rows came too late to count: all rows less those that the stream counted."""
+    n = table(spark, d, "events").agg(F.count("*").alias("all"))
+    return stream_usage(spark, d).agg(F.sum("n").alias("n")).select((n.select("all").scalar() - F.col("n")).alias("late"))
 
 
 @query(
@@ -34,10 +52,11 @@ def stream_sessions(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
-@query("SELECT count(DISTINCT (user_id, event_type)) AS keys FROM events")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day_, count(DISTINCT (user_id, event_type)) AS keys FROM events GROUP BY 1")
 def stream_dedup_ttl(spark, d):
-    """All events arrive in one batch here, so each key is let through once."""
-    return E.collect_stream(E.first_within(E.read_events(spark, d), ["user_id", "event_type"], "40 days")).agg(F.count("*").alias("keys"))
+    """The first event of each user and type a day, from six batches; keys are forgotten when the watermark is 24 hours past them."""
+    e = E.arriving(spark, d, BATCHES, 6).withColumn("day_", F.date_format("ts", "yyyy-MM-dd"))
+    return E.collect_stream(E.first_within(e, ["user_id", "event_type", "day_"], "24 hours")).groupBy("day_").agg(F.count("*").alias("keys"))
 
 
 @query("SELECT rate, count(*) AS n FROM events LEFT JOIN (SELECT * FROM (VALUES ('click', 2), ('view', 1)) t(event_type, rate)) USING (event_type) GROUP BY 1")

@@ -118,3 +118,28 @@ def robots_rules(files: DataFrame) -> DataFrame:
     rules = g.where("field in ('allow', 'disallow') and value <> ''").select("host", "grp", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow"))
     delay = g.where("field = 'crawl-delay'").groupBy("host", "grp").agg(F.max(F.col("value").try_cast("double")).alias("delay"))
     return agents.join(rules, ["host", "grp"], "left").join(delay, ["host", "grp"], "left").select("host", "agent", "pattern", "allow", "delay")
+
+
+def decide(pages: DataFrame, rules: DataFrame, readable: DataFrame, exceptions: DataFrame, agent: str) -> DataFrame:
+    """(url, allowed, reason) of addresses, by rules (host, agent, pattern, allow) as `robots_rules` gives them.
+
+    Of a host's groups the one counts whose agent is the longest within `agent`'s name, else that of *; a host without
+    either permits all. Of its patterns that match path and query the longest wins, permission on ties; * stands for
+    anything and a last $ for the end. Hosts not in `readable` permit nothing but by `exceptions` (host). Rules join
+    addresses by host.
+    """
+    name = agent.lower()
+    fits = rules.select("host", "agent", "pattern", "allow").where((F.col("agent") == "*") | F.contains(F.lit(name), F.col("agent")))
+    best = fits.groupBy("host").agg(F.max(F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))).alias("size"))
+    own = fits.join(best, "host").where(F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")) == F.col("size")).where("pattern is not null")
+    escaped = F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1")
+    rule = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
+    patterns = own.select("host", rule.alias("rule"), F.struct(F.length("pattern").alias("n"), "allow").alias("r"))
+    path = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+(/[^#]*)", 1)
+    p = pages.select("url", F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1)).alias("host"), F.when(path == "", "/").otherwise(path).alias("path"))
+    met = p.join(patterns, "host", "left").withColumn("r", F.when(F.expr("path RLIKE rule"), F.col("r"))).groupBy("url", "host").agg(F.max("r").alias("best"))
+    known = met.join(readable.select("host", F.lit(True).alias("readable")), "host", "left").join(exceptions.select("host", F.lit(True).alias("excepted")), "host", "left")
+    may = F.coalesce(F.col("best.allow"), F.lit(True))
+    allowed = F.when(F.col("readable"), may).otherwise(F.coalesce("excepted", F.lit(False)))
+    reason = F.when(F.col("readable"), F.when(may, "").otherwise("disallowed")).when(F.col("excepted"), "exception").otherwise("unreadable")
+    return known.select("url", allowed.alias("allowed"), reason.alias("reason"))
