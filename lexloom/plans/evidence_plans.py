@@ -9,6 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import retrieval as R
 from lexloom.plans.retrieval_plans import BY, DR, _dedup_ranks
 from lexloom.plans.text_plans import HOST_PATH_SQL, NAME_TOKENS_SQL, STOP
+from lexloom.operators.retrieval import places
 from lexloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -32,12 +33,16 @@ def words(c):
 
 
 GROUND = f"""SELECT l.label_id, r.ref_id, CASE WHEN contains(l.impact, substring(trim(r.rationale), 1, 200)) THEN 1.0 ELSE round(len(list_intersect({WORDS.format(c="l.impact")}, {WORDS.format(c="r.rationale")})) / nullif(len({WORDS.format(c="r.rationale")}), 0), 3) END AS grounding
-FROM label_row l JOIN ref_row r ON l.workbook_id = r.workbook_id AND l.indicator_id = r.indicator_id WHERE l.impact IS NOT NULL AND r.rationale IS NOT NULL"""
+FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY label_id) AS place FROM (SELECT DISTINCT workbook_id, indicator_id, label_id, impact FROM label_row WHERE impact IS NOT NULL) x) l
+JOIN (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY ref_id) AS place FROM ref_row WHERE rationale IS NOT NULL) r ON l.workbook_id = r.workbook_id AND l.indicator_id = r.indicator_id AND l.place = r.place"""
 
 
 def _label_ref(spark, d):
-    left = table(spark, d, "label_row").where("impact is not null").select("workbook_id", "indicator_id", "label_id", "impact")
-    return left.join(table(spark, d, "ref_row").where("rationale is not null").select("workbook_id", "indicator_id", "ref_id", "rationale"), ["workbook_id", "indicator_id"])
+    """Labels and reference rows of one workbook and indicator, the k-th with the k-th by id."""
+    by = ["workbook_id", "indicator_id"]
+    left = places(table(spark, d, "label_row").where("impact is not null").select(*by, "label_id", "impact").distinct(), by, [F.col("label_id")], "place")
+    right = places(table(spark, d, "ref_row").where("rationale is not null").select(*by, "ref_id", "rationale"), by, [F.col("ref_id")], "place")
+    return left.join(right, [*by, "place"])
 
 
 @query(GROUND)

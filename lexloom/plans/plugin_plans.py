@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import plugins as P
 from lexloom.functions import text as T
+from lexloom.plans.text_plans import paired
 from lexloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -19,16 +20,14 @@ def query(f, sql: str | None = None):
 
 
 WER_SQL = r"""WITH j AS (SELECT ref_id, target_id, list_filter(string_split_regex(law_name, '\s+'), lambda w: w <> '') AS r, list_filter(string_split_regex(law_label, '\s+'), lambda w: w <> '') AS h
-    FROM ref_row JOIN trace_target USING (workbook_id, indicator_id)), k AS (SELECT *, list_concat(r, h) AS known FROM j),
+    FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY ref_id) AS place FROM ref_row WHERE law_name IS NOT NULL) a JOIN (SELECT *, row_number() OVER (PARTITION BY workbook_id, indicator_id ORDER BY target_id) AS place FROM trace_target WHERE law_label IS NOT NULL) b USING (workbook_id, indicator_id, place)), k AS (SELECT *, list_concat(r, h) AS known FROM j),
   s AS (SELECT *, array_to_string(list_transform(r, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS a, array_to_string(list_transform(h, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS b FROM k)
 SELECT ref_id, target_id, CASE WHEN r IS NULL OR h IS NULL THEN NULL WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(a, b) / len(r), 4) END AS wer FROM s"""
 
 
 def word_error_rate(spark, d):
-    """Word error rate of target labels against reference names of the same workbook and indicator."""
-    r = table(spark, d, "ref_row").select("workbook_id", "indicator_id", "ref_id", "law_name")
-    t = table(spark, d, "trace_target").select("workbook_id", "indicator_id", "target_id", "law_label")
-    return r.join(t, ["workbook_id", "indicator_id"]).select("ref_id", "target_id", P.word_error_rate(F.col("law_name"), F.col("law_label")).alias("wer"))
+    """Word error rate of target labels against reference names, the k-th with the k-th of a workbook and indicator."""
+    return paired(spark, d).select("ref_id", "target_id", P.word_error_rate(F.col("law_name"), F.col("law_label")).alias("wer"))
 
 
 query(word_error_rate, WER_SQL)

@@ -125,7 +125,7 @@ def kit_known(spark, d):
 def link_law_best(spark, d):
     """The law that a reference name means by symmetric overlap of words, unless a second is as near."""
     r, law = _ref_law(spark, d)
-    p = L.overlap_pairs(r, law, "economy", "ref_id", "law_id", "w", 0.0).where("shared >= 2").join(r.select("ref_id", F.size("w").alias("na")), "ref_id").join(law.select("law_id", F.size("w").alias("nb")), "law_id")
+    p = L.overlap_pairs(r, law, "economy", "ref_id", "law_id", "w", 0.62, "longer").where("shared >= 2").join(r.select("ref_id", F.size("w").alias("na")), "ref_id").join(law.select("law_id", F.size("w").alias("nb")), "law_id")
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return L.best_link(p.where(j >= 0.62), "ref_id", "law_id", j, 0.02).withColumn("score", F.round("score", 6))
 
@@ -261,10 +261,12 @@ def _targets(spark, d):
 @query(f"WITH {TGT} SELECT indicator_id, count(*) AS targets, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, min(place) AS best, list_sort(list(place) FILTER (WHERE place IS NOT NULL))[CAST(floor(count(place) / 2) AS BIGINT) + 1] AS upper_median FROM t GROUP BY 1")
 def retrieval_metrics(spark, d):
     """By indicator: share of targets among the first ten, best place and upper median of places."""
-    g = _targets(spark, d).groupBy("indicator_id").agg(
-        F.count("*").alias("targets"), F.round(F.avg(F.when(F.col("place") <= 10, 1.0).otherwise(0.0)), 6).alias("recall_10"), F.min("place").alias("best"), F.sort_array(F.collect_list("place")).alias("all")
-    )
-    return g.select("indicator_id", "targets", "recall_10", "best", F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("upper_median"))
+    # targets are counted by place first, so the window orders places, not targets
+    n = _targets(spark, d).groupBy("indicator_id", "place").agg(F.count("*").alias("n"))
+    g = n.groupBy("indicator_id").agg(F.sum("n").alias("targets"), F.round(F.sum(F.when(F.col("place") <= 10, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("recall_10"), F.min("place").alias("best"), F.floor(F.sum(F.when(F.col("place").isNotNull(), F.col("n"))) / 2).alias("half"))
+    up_to = F.sum("n").over(Window.partitionBy("indicator_id").orderBy("place"))
+    m = n.where("place is not null").withColumn("up_to", up_to).join(g, "indicator_id").where(F.col("up_to") > F.col("half")).groupBy("indicator_id").agg(F.min("place").alias("upper_median"))
+    return g.join(m, "indicator_id", "left").select("indicator_id", "targets", "recall_10", "best", "upper_median")
 
 
 @query(f"WITH {TGT} SELECT economy, count(*) AS targets, count(*) FILTER (WHERE place <= 1) AS at_1, count(*) FILTER (WHERE place <= 5) AS at_5, count(*) FILTER (WHERE place <= 20) AS at_20, count(place) AS found FROM t GROUP BY 1")

@@ -259,13 +259,21 @@ def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
+def paired(spark, d):
+    """Reference names and target labels of one workbook and indicator, the k-th name by id with the k-th label: one with one, however many there are."""
+    from lexloom.operators.retrieval import places
+
+    by = ["workbook_id", "indicator_id"]
+    r = places(table(spark, d, "ref_row").where("law_name is not null").select(*by, "ref_id", "law_name"), by, [F.col("ref_id")], "place")
+    t = places(table(spark, d, "trace_target").where("law_label is not null").select(*by, "target_id", "law_label"), by, [F.col("target_id")], "place")
+    return r.join(t, [*by, "place"]).select("ref_id", "target_id", "law_name", "law_label")
+
+
 @query()
 def cer_levenshtein(spark, d):
-    """Character error rate of labels against the names of their workbook and indicator, by characters of any script; SQL here counts bytes, so a test holds it against brute force."""
-    r = table(spark, d, "ref_row").where("law_name is not null").select("workbook_id", "indicator_id", "ref_id", "law_name")
-    t = table(spark, d, "trace_target").where("law_label is not null").select("workbook_id", "indicator_id", "target_id", "law_label")
+    """Character error rate of labels against names (`paired`), by characters of any script; SQL here counts bytes, so a test holds it against brute force."""
     cer = F.levenshtein(F.lower("law_name"), F.lower("law_label")) / F.greatest(F.length("law_name"), F.lit(1))
-    return r.join(t, ["workbook_id", "indicator_id"]).select("ref_id", "target_id", F.round(cer, 4).alias("cer"))
+    return paired(spark, d).select("ref_id", "target_id", F.round(cer, 4).alias("cer"))
 
 
 @query("SELECT ref_id, CASE WHEN raw_score IS NULL THEN '' ELSE printf('%.2f', raw_score) END AS shown FROM ref_row")
