@@ -23,7 +23,7 @@ def order_statistics(ranks: Column, m: int) -> Column:
     return F.array(*out)
 
 
-def aggregate_ranks(df: DataFrame, keys: list[str], item: str, scores: list[str]) -> DataFrame:
+def aggregate_ranks(df: DataFrame, keys: list[str], item: str, scores: list[str], first: int | None = None) -> DataFrame:
     """(keys, item, rho, position): the items of each ranking by the significance of their places, best first.
 
     Each score counts by its place alone: the normalised rank of a value is the middle of the places that equal values
@@ -35,7 +35,8 @@ def aggregate_ranks(df: DataFrame, keys: list[str], item: str, scores: list[str]
     item or key are kept as a group of their own. An empty table gives an empty ranking.
 
     Equal values are counted before ranking, and ranks come from running totals over ranges, so a ranking may hold
-    any share of all rows. Only the last step, numbering, sorts a ranking's items by window.
+    any share of all rows. So does the last numbering; with `first` only so many items of each ranking are given, which
+    are cut before the shuffle.
     """
     value = lambda s: F.when(~F.isnan(F.col(f"`{s}`").cast("double")), F.col(f"`{s}`").cast("double"))
     one = df.groupBy(*keys, item).agg(*(F.max(value(s)).alias(f"_s{i}") for i, s in enumerate(scores)))
@@ -53,5 +54,9 @@ def aggregate_ranks(df: DataFrame, keys: list[str], item: str, scores: list[str]
     scored = ranks.withColumn("_full", full).withColumn("_p", F.sort_array(F.transform(order_statistics(F.col("_full"), m), lambda p: F.round(p, 9))))
     rho = F.least(F.lit(1.0), m * F.col("_p")[0])
     flat = named.alias("e").join(scored.alias("s"), (F.col("e._g") == F.col("s._g")) & F.col("e._item").eqNullSafe(F.col("s._item")), "left").select(*(f"e.`{k}`" for k in keys), "e._g", "e._item", "s._p")
-    w = Window.partitionBy("_g").orderBy(F.asc_nulls_last("_p"), F.asc_nulls_last("_item"))
-    return flat.withColumn("position", F.row_number().over(w)).select(*keys, F.col("_item").alias(item), F.when(F.col("_p").isNotNull(), rho).alias("rho"), "position")
+    order = [F.asc_nulls_last("_p"), F.asc_nulls_last("_item")]
+    if first is not None:
+        placed = flat.withColumn("position", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).where(F.col("position") <= first)
+    else:
+        placed = running_total(flat.withColumn("_one", F.lit(1)), ["_g"], order, "_one", "_before").withColumn("position", (F.col("_before") + 1).cast("int"))
+    return placed.select(*keys, F.col("_item").alias(item), F.when(F.col("_p").isNotNull(), rho).alias("rho"), "position")

@@ -26,12 +26,13 @@ def p3_forms(spark, d):
 
 def p4_ranking(spark, d):
     """Every ranking of laws, all scores counting alike."""
-    return aggregate_ranks(table(spark, d, "doc_rank"), ["run_id", "indicator_id"], "doc_id", SCORES)
+    r = aggregate_ranks(table(spark, d, "doc_rank"), ["run_id", "indicator_id"], "doc_id", SCORES)
+    return r.withColumn("rho", F.round("rho", 6))
 
 
 def p4_found(spark, d):
     """The five laws that stand best in each ranking."""
-    return p4_ranking(spark, d).where("position <= 5 and rho is not null").select("run_id", "indicator_id", "doc_id")
+    return aggregate_ranks(table(spark, d, "doc_rank"), ["run_id", "indicator_id"], "doc_id", SCORES, first=5).where("rho is not null").select("run_id", "indicator_id", "doc_id")
 
 
 def _mentions(spark, d):
@@ -80,4 +81,9 @@ p AS (SELECT *, list_sort([round(1 - (1 - x[1]) ** 4, 9), round(6 * x[2] ** 2 *
 SELECT run_id, indicator_id, doc_id FROM p QUALIFY row_number() OVER (PARTITION BY run_id, indicator_id ORDER BY p, doc_id) <= 5
 """
 
-ORACLE: dict[str, str] = {"p4_found": P4_SQL}
+P4_ALL_SQL = P4_SQL.replace(
+    "SELECT run_id, indicator_id, doc_id FROM p QUALIFY row_number() OVER (PARTITION BY run_id, indicator_id ORDER BY p, doc_id) <= 5",
+    """, e AS (SELECT one.run_id, one.indicator_id, one.doc_id, p.p FROM one LEFT JOIN p ON one.run_id = p.run_id AND one.indicator_id = p.indicator_id AND one.doc_id = p.doc_id)
+SELECT run_id, indicator_id, doc_id, round(least(1.0, 4 * p[1]), 6) AS rho, CAST(row_number() OVER (PARTITION BY run_id, indicator_id ORDER BY p NULLS LAST, doc_id) AS INT) AS position FROM e""",
+)
+ORACLE: dict[str, str] = {"p4_found": P4_SQL, "p4_ranking": P4_ALL_SQL}

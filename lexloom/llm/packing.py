@@ -74,11 +74,15 @@ def pattern_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[i
     return slots, used
 
 
+#: Rows that one group counts at most, on average, when places are given.
+GROUP_ROWS = 100_000
+
+
 def places(items: DataFrame, by: str, order: list[str], salts: int = 64) -> DataFrame:
     """Adds `place`: 0, 1, ... among the rows of equal `by`, in no order of meaning but the same every time.
 
     A value of `by` with a third of all rows is spread over `salts` groups that count on their own; the groups'
-    starts come from their sizes.
+    starts come from their sizes. The caller knows how many rows a value has and salts accordingly.
     """
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = salted.groupBy(by, "_salt").count()
@@ -112,7 +116,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, met
         slots = [(*s, 0) for s in plan]
     schema = "size int, _a bigint, _b bigint, _first bigint, _per int, _shift bigint"
     table = spark.createDataFrame(slots, schema).groupBy("size").agg(F.collect_list(F.struct("_a", "_b", "_first", "_per", "_shift")).alias("_slots"))
-    placed = places(parts, "size", [id_col, "part"])
+    placed = places(parts, "size", [id_col, "part"], max(64, -(-max(histogram.values(), default=0) // GROUP_ROWS)))
     slot = F.element_at(F.filter("_slots", lambda s: (s["_a"] <= F.col("place")) & (F.col("place") < s["_b"])), 1)
     box = F.col("_slot._first") + F.floor((F.col("place") - F.col("_slot._a") + F.col("_slot._shift")) / F.col("_slot._per"))
     return (
