@@ -86,6 +86,10 @@ def _composition(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(composition_rows(), "_cluster string, _whole string")
 
 
+#: Texts in which no character stands for another: printable ASCII, single blanks inside.
+PLAIN = r"^[!-~]+(?: [!-~]+)*(?![\s\S])"
+
+
 def consistent_forms(texts: DataFrame, text_col: str) -> DataFrame:
     """(text_col, form): each distinct non-null text once, with its consistent form.
 
@@ -95,14 +99,17 @@ def consistent_forms(texts: DataFrame, text_col: str) -> DataFrame:
     number of inner blanks and order stay. An empty text has an empty form. Null texts are left out. Two forms are
     equal if and only if the texts look the same in this sense.
 
-    The texts are exploded to positioned characters, joined with the table of replacements (broadcast: some seven
+    Texts of printable ASCII with single blanks inside are their own forms and pass by. The others are exploded to positioned characters, joined with the table of replacements (broadcast: some seven
     thousand rows, a bound that Unicode sets), their marks ordered by class within each base letter's cluster, the
     clusters recomposed by another such table, and joined again. Work is by distinct text.
     """
     spark = texts.sparkSession
     own = texts.select(F.col(f"`{text_col}`").alias("_text")).where("_text is not null").distinct()
-    keyed = own.select("_text", F.xxhash64("_text").alias("_h"), F.xxhash64(F.reverse("_text")).alias("_g"))
+    plain = F.col("_text").rlike(PLAIN)
     key = ["_h", "_g"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # texts are dealt out by their key before they become characters, so that all that follows needs no other exchange
+    keyed = own.where(~plain).select("_text", F.xxhash64("_text").alias("_h"), F.xxhash64(F.reverse("_text")).alias("_g")).repartition(n, *key)
     chars = keyed.select(*key, F.posexplode(F.split("_text", "")).alias("_pos", "_c")).where("_c <> ''")
     mapped = chars.join(F.broadcast(_mapping(spark)), "_c", "left").select(
         *key, "_pos", F.posexplode(F.coalesce("_new", F.array(F.struct(F.col("_c").alias("ch"), F.lit(0).alias("ccc"))))).alias("_i", "_x")
@@ -114,13 +121,15 @@ def consistent_forms(texts: DataFrame, text_col: str) -> DataFrame:
     )
     whole = clusters.join(F.broadcast(_composition(spark)), "_cluster", "left").withColumn("_whole", F.coalesce("_whole", "_cluster"))
     forms = whole.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_cluster_no", "_whole"))), lambda s: s["_whole"]), "").alias("form"))
-    return keyed.join(forms, key, "left").select(F.col("_text").alias(text_col), F.trim(F.coalesce("form", F.lit(""))).alias("form"))
+    other = keyed.join(forms, key, "left").select(F.col("_text").alias(text_col), F.trim(F.coalesce("form", F.lit(""))).alias("form"))
+    return own.where(plain).select(F.col("_text").alias(text_col), F.col("_text").alias("form")).unionByName(other)
 
 
 def same_look_pairs(left: DataFrame, right: DataFrame, group: str, left_id: str, left_text: str, right_id: str, right_text: str) -> DataFrame:
     """(left_id, right_id): pairs of one group whose texts look the same but are not the same string.
 
-    Null groups or texts have no pairs. Equal texts meet once: pairs of texts are made first, ids come last.
+    Null groups or texts have no pairs. Forms are found once for each different text; rows then meet by group and form,
+    so there are as many pairs as the result has.
     """
     a = left.select(F.col(f"`{group}`").alias("_grp"), F.col(f"`{left_id}`").alias("_l"), F.col(f"`{left_text}`").alias("_text"))
     b = right.select(F.col(f"`{group}`").alias("_grp"), F.col(f"`{right_id}`").alias("_r"), F.col(f"`{right_text}`").alias("_text"))

@@ -123,7 +123,7 @@ def line_features(pages: list[str | None], paged: bool) -> list[tuple[int, int,
                 seed = NUMBER
             elif form in ("title", "short") and again and (place in ("top", "end") or place == "any" and breaks):
                 seed = HEAD
-            elif form == "item" or form == "text" and not again and (not before or before[-1] in ".;:!?。"):
+            elif form == "item" or form == "text" and (not again or place in ("mid", "second") and bool(after) and after[0].islower()) and (not before or place == "second" and bool(after) and after[0].islower() or before[-1] in ".;:!?。"):
                 seed = START
             elif form in ("run", "last") or form == "number" and place == "mid":
                 seed = MORE

@@ -120,3 +120,13 @@ def test_average_linkage_against_one_merge_at_a_time(spark, seed):
     got = average_linkage(spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a string, b string, s double"), 0.4)
     have = got.groupBy("cluster").agg(F.collect_set("node").alias("n")).collect()
     assert {frozenset(r["n"]) for r in have} == naive(pairs, {x for p in pairs for x in p}, 0.4)
+
+
+def test_plain_texts_are_their_own_forms():
+    import re
+
+    from lexloom.llm.lookalike import PLAIN, character_rows
+
+    assert not [c for c, _ in character_rows() if "!" <= c <= "~" or c == " "]
+    plain = re.compile(PLAIN)
+    assert plain.match("Act 1990 (No. 2)") and not any(plain.match(t) for t in ("", " a", "a ", "a  b", "a b", "Аct", "a\tb", "a\n"[:1] + "\n"))
