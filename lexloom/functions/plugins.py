@@ -128,7 +128,8 @@ def register(spark: SparkSession) -> None:
 
 #: Ways to grade and retrieve, by name; a deployment adds its own.
 GRADERS: dict[str, Callable[[pd.Series, pd.Series], pd.DataFrame]] = {}
-RETRIEVERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+RETRIEVERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+OCR_ENGINES: dict[str, Callable[[str], list[tuple[str, float]]]] = {}
 
 
 def overlap_grader(query: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -159,3 +160,68 @@ def grade(df: DataFrame, query: str, text: str, grader: str = "overlap") -> Data
             yield out
 
     return df.withColumn("grade", run(F.col(query), F.col(text)))
+
+
+# ---- retrievers: frames of candidates (run_id, indicator_id, doc_id, keyword, semantic, ...) gain a score ---------------
+
+
+def _by(column: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda candidates: candidates.withColumn("score", F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
+
+
+def _hybrid(candidates: DataFrame) -> DataFrame:
+    from lexloom.operators.retrieval import max_norm
+
+    n = max_norm(candidates, ["run_id", "indicator_id"], ["keyword", "semantic"])
+    score = 0.65 * F.coalesce("keyword_norm", F.lit(0.0)) + 0.35 * F.coalesce("semantic_norm", F.lit(0.0))
+    return n.withColumn("score", score).drop("keyword_norm", "semantic_norm")
+
+
+RETRIEVERS |= {"keyword": _by("keyword"), "semantic": _by("semantic"), "hybrid": _hybrid}
+
+
+def choose_retriever(name: str, available: Callable[[str], bool] = lambda n: True) -> tuple[str, Callable[[DataFrame], DataFrame]]:
+    """(name, retriever) of a strategy: auto takes the first that is there of hybrid, keyword and semantic; one that is
+    not registered or not available falls back in that order. None at all is an error."""
+    for n in ([] if name == "auto" else [name]) + ["hybrid", "keyword", "semantic"]:
+        if n in RETRIEVERS and available(n):
+            return n, RETRIEVERS[n]
+    raise LookupError(f"no retriever for {name}")
+
+
+# ---- readers of scans: a text or file content gives pages with confidences ----------------------------------------------
+
+
+def mock_reader(text: str) -> list[tuple[str, float]]:
+    """Pages of 1,800 characters, with a confidence from their share of letters."""
+    pages = [text[i : i + 1800] for i in range(0, max(1, len(text)), 1800)]
+    return [(t, 0.55 + 0.4 * (sum(map(str.isalpha, t)) / len(t) if t else 0.0)) for t in pages]
+
+
+OCR_ENGINES["mock"] = mock_reader
+
+
+def read_pages(df: DataFrame, id_col: str, content_col: str, engine: str = "mock") -> DataFrame:
+    """(id, page, text, confidence, failed): pages of every row's content by a registered reader, over Arrow batches; content
+    that a reader fails on is one row that says so."""
+    f = OCR_ENGINES[engine]
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, content in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
+                if content is None:
+                    continue
+                try:
+                    out += [(key, i + 1, t, c, False) for i, (t, c) in enumerate(f(content))]
+                except Exception:
+                    out.append((key, None, None, None, True))
+            yield pd.DataFrame(out, columns=[id_col, "page", "text", "confidence", "failed"]).astype({"page": "Int32"})
+
+    return df.select(id_col, content_col).mapInPandas(run, f"`{id_col}` {kind}, page int, text string, confidence double, failed boolean")
+
+
+def availability(names: dict[str, list[str]], settings: dict[str, str]) -> dict[str, bool]:
+    """Which providers can be used: those all of whose needed settings are there and not blank."""
+    return {n: all((settings.get(k) or "").strip() for k in needs) for n, needs in names.items()}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lexloom.functions import text as T
 from lexloom.operators import retrieval as R
 from lexloom.plans.retrieval_plans import BY, DR, _dedup_ranks
-from lexloom.plans.text_plans import HOST_PATH_SQL, NAME_TOKENS_SQL, STOP
+from lexloom.plans.text_plans import HOST_PATH_SQL, NAME_TOKENS_SQL, PAGES_SQL, STOP, page_texts
 from lexloom.operators.retrieval import places
 from lexloom.sources.tables import table
 
@@ -140,23 +140,23 @@ def citation_attribution(spark, d):
 
 
 @query(
-    r"""WITH pg AS (SELECT ocr_id, p.page AS page, regexp_replace(p.text, '\s+', ' ', 'g') AS t FROM (SELECT ocr_id, unnest(pages) AS p FROM ocr_result) WHERE p.text IS NOT NULL), a AS (SELECT ocr_id, page, t, substring(t, 101, 60) AS probe FROM pg WHERE length(t) >= 160), n AS (SELECT a.ocr_id, a.page, bool_or(contains(b.t, a.probe)) AS found FROM a JOIN pg b ON a.ocr_id = b.ocr_id AND b.page BETWEEN a.page AND a.page + 1 GROUP BY 1, 2)
+    r"""WITH pg AS (SELECT ocr_id, p.page AS page, regexp_replace(p.text, '\s+', ' ', 'g') AS t FROM (SELECT ocr_id, unnest(pages) AS p FROM ocr_result) WHERE p.text IS NOT NULL), a AS (SELECT ocr_id, page, t, substring(t, 101, 60) AS probe FROM pg WHERE length(t) >= 160), n AS (SELECT a.ocr_id, a.page, bool_or(contains(b.t, a.probe)) AS found FROM a JOIN pg b ON a.ocr_id = b.ocr_id AND b.page BETWEEN a.page - 1 AND a.page + 1 GROUP BY 1, 2)
     SELECT ocr_id, count(*) AS pages, count(*) FILTER (WHERE found) AS found FROM n GROUP BY 1"""
 )
 def verbatim_roundtrip(spark, d):
-    """Probes of 60 characters sought on the cited page and the next, by an equi-join on exploded page numbers."""
+    """Probes of 60 characters sought on the cited page and those beside it, by an equi-join on exploded page numbers."""
     o = table(spark, d, "ocr_result").select("ocr_id", F.explode("pages").alias("p")).where("p.text is not null").select("ocr_id", "p.page", F.regexp_replace("p.text", r"\s+", " ").alias("t"))
-    a = o.where(F.length("t") >= 160).select("ocr_id", "page", F.substring("t", 101, 60).alias("probe"), F.explode(F.array("page", F.col("page") + 1)).alias("at"))
+    a = o.where(F.length("t") >= 160).select("ocr_id", "page", F.substring("t", 101, 60).alias("probe"), F.explode(F.array(F.col("page") - 1, "page", F.col("page") + 1)).alias("at"))
     j = a.join(o.select("ocr_id", F.col("page").alias("at"), "t"), ["ocr_id", "at"]).groupBy("ocr_id", "page").agg(F.bool_or(F.contains("t", "probe")).alias("found"))
     return j.groupBy("ocr_id").agg(F.count("*").alias("pages"), F.count_if("found").alias("found"))
 
 
 @query(
-    r"""SELECT fetch_id, count(*) AS links, count(DISTINCT h) AS targets, count(*) FILTER (WHERE h LIKE '/%') AS local FROM (SELECT fetch_id, unnest(regexp_extract_all(html, '(?i)<a[^<>]*href="([^"]*)"', 1)) AS h FROM fetched_page WHERE html IS NOT NULL) GROUP BY 1"""
+    r"""SELECT fetch_id, count(*) AS links, count(DISTINCT h) AS targets, count(*) FILTER (WHERE h LIKE '/%') AS local FROM (SELECT fetch_id, unnest(regexp_extract_all(html, '(?i)<a[^<>]*href="([^"]*)"', 1)) AS h FROM """ + PAGES_SQL + """) GROUP BY 1"""
 )
 def link_scrape(spark, d):
     """Links of pages by pattern."""
-    h = table(spark, d, "fetched_page").where("html is not null").select("fetch_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a[^<>]*href="([^"]*)"'), 1)).alias("h"))
+    h = page_texts(spark, d).select("fetch_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a[^<>]*href="([^"]*)"'), 1)).alias("h"))
     return h.groupBy("fetch_id").agg(F.count("*").alias("links"), F.countDistinct("h").alias("targets"), F.count_if(F.startswith("h", F.lit("/"))).alias("local"))
 
 
@@ -174,11 +174,15 @@ def latest_fetch(spark, d):
     return table(spark, d, "fetched_page").select("fetch_id", "url", "fetched_at", F.row_number().over(w).alias("k")).where("k = 1").select("fetch_id", "url", "fetched_at")
 
 
-@query("WITH c AS (SELECT sha256(html) AS k FROM fetched_page WHERE html IS NOT NULL AND fetch_id % 2 = 0) SELECT count(*) AS todo FROM fetched_page WHERE html IS NOT NULL AND sha256(html) NOT IN (SELECT k FROM c)")
+@query(
+    "WITH k AS (SELECT coalesce(sha256(html), sha256(body)) AS k, fetched_at FROM fetched_page WHERE html IS NOT NULL OR body IS NOT NULL), m AS (SELECT max(CAST(fetched_at AS DATE)) AS last_ FROM k), c AS (SELECT DISTINCT k FROM k, m WHERE CAST(fetched_at AS DATE) < last_) SELECT count(*) AS todo FROM k WHERE k NOT IN (SELECT k FROM c)"
+)
 def extraction_cache(spark, d):
-    """Pages whose content the cache (here: the pages of even number) does not have yet."""
-    p = table(spark, d, "fetched_page").where("html is not null").select("fetch_id", F.sha2("html", 256).alias("k"))
-    return p.join(p.where("fetch_id % 2 = 0").select("k"), "k", "left_anti").agg(F.count("*").alias("todo"))
+    """Pages that a cache filled before the newest day does not hold, by the hash of their content."""
+    k = F.coalesce(F.sha2(F.col("html").cast("binary"), 256), F.sha2("body", 256))
+    p = table(spark, d, "fetched_page").where("html is not null or body is not null").select(k.alias("k"), F.to_date("fetched_at").alias("day"))
+    cached = p.where(F.col("day") < p.agg(F.max("day").alias("m")).select("m").scalar()).select("k").distinct()
+    return p.join(cached, "k", "left_anti").agg(F.count("*").alias("todo"))
 
 
 @query("SELECT run_id, indicator_id, sha1(concat_ws('|', run_id, indicator_id, CAST(count(DISTINCT doc_id) AS VARCHAR))) AS cache_key FROM doc_rank GROUP BY 1, 2")

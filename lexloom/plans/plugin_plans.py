@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import plugins as P
 from lexloom.functions import text as T
+from lexloom.operators.retrieval import top_k
+from lexloom.plans.text_plans import ORACLE as TEXT_ORACLE
 from lexloom.plans.text_plans import paired
 from lexloom.sources.tables import table
 
@@ -83,3 +85,34 @@ def json_repair(spark, d):
     """The last object of model-like answers made of the stored provision records."""
     p = table(spark, d, "provisions").where("prov_json is not null").select("provision_id", F.concat(F.lit("<think>{no}</think> answer {\"draft\": 1}\n```json\n"), "prov_json", F.lit("\n```")).alias("said"))
     return p.select("provision_id", F.md5(P.last_json_object(F.col("said"))).alias("object_md5")).distinct()
+
+
+RETRIEVED = ["auto", "keyword", "semantic", "graph"]
+_O = "o AS (SELECT run_id, indicator_id, doc_id, max(keyword) AS k, max(semantic) AS s FROM doc_rank WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT *, coalesce(k / CASE WHEN max(k) OVER w > 0 THEN max(k) OVER w ELSE 1 END, 0) AS kn, coalesce(s / CASE WHEN max(s) OVER w > 0 THEN max(s) OVER w ELSE 1 END, 0) AS sn FROM o WINDOW w AS (PARTITION BY run_id, indicator_id))"
+CHOICE_SQL = f"""WITH {_O}, a AS (SELECT unnest(['auto', 'keyword', 'semantic', 'graph']) AS asked, * FROM n), z AS (SELECT *, CASE asked WHEN 'keyword' THEN 'keyword' WHEN 'semantic' THEN 'semantic' ELSE 'hybrid' END AS used,
+  CASE asked WHEN 'keyword' THEN coalesce(k, 0) WHEN 'semantic' THEN coalesce(s, 0) ELSE 0.65 * kn + 0.35 * sn END AS score FROM a)
+SELECT asked, used, run_id, indicator_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY asked, run_id, indicator_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM z) WHERE place <= 3"""
+
+
+def retriever_choice(spark, d):
+    """The three best candidates of each ranking by the retriever that each strategy gets: one that is not there falls back."""
+    c = table(spark, d, "doc_rank").where("doc_id is not null").groupBy("run_id", "indicator_id", "doc_id").agg(F.max("keyword").alias("keyword"), F.max("semantic").alias("semantic"))
+    out = None
+    for asked in RETRIEVED:
+        used, f = P.choose_retriever(asked)
+        top = top_k(f(c), ["run_id", "indicator_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 3)
+        one = top.select(F.lit(asked).alias("asked"), F.lit(used).alias("used"), "run_id", "indicator_id", "doc_id", F.col("rank").alias("place"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query(retriever_choice, CHOICE_SQL)
+
+
+def plugin_reader(spark, d):
+    """Pages and confidences of every document by the reader that is registered as mock."""
+    p = P.read_pages(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return p.select("doc_id", "page", F.length("text").alias("chars"), F.round("confidence", 4).alias("confidence"))
+
+
+query(plugin_reader, TEXT_ORACLE["mock_ocr_pages"])

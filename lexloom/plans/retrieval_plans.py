@@ -164,15 +164,18 @@ def dense_recall_guarantee(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT doc_id, TRY_CAST(regexp_extract(article_section, '([0-9]+)', 1) AS INT) AS n FROM provisions WHERE doc_id IS NOT NULL AND regexp_matches(article_section, '[0-9]')), h AS (SELECT * FROM s WHERE n % 25 = 0)
+    """WITH s AS (SELECT DISTINCT economy, doc_id, TRY_CAST(regexp_extract(article_section, '([0-9]+)', 1) AS INT) AS n FROM provisions WHERE doc_id IS NOT NULL AND regexp_matches(article_section, '[0-9]')),
+    c AS (SELECT DISTINCT economy, TRY_CAST(regexp_extract(x, '([0-9]+)', 1) AS INT) AS n FROM (SELECT economy, unnest(sections) AS x FROM ref_row) y), h AS (SELECT s.doc_id, s.n FROM s JOIN c USING (economy, n))
     SELECT DISTINCT s.doc_id, s.n FROM h JOIN s ON h.doc_id = s.doc_id AND abs(h.n - s.n) BETWEEN 1 AND 2"""
 )
 def depth_neighbours(spark, d):
-    """Sections next to a hit, two on either side, by an equi-join on the exploded neighbours."""
+    """Sections next to one whose number the economy's reference rows cite, two on either side, by an equi-join on the exploded neighbours."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).try_cast("int")
     p = table(spark, d, "provisions").where(F.col("doc_id").isNotNull() & F.col("article_section").rlike("[0-9]"))
-    s = p.select("doc_id", F.regexp_extract("article_section", "([0-9]+)", 1).try_cast("int").alias("n")).distinct()
-    near = s.where("n % 25 = 0").select("doc_id", F.explode(F.array(*(F.col("n") + i for i in (-2, -1, 1, 2)))).alias("n")).distinct()
-    return s.join(near, ["doc_id", "n"], "left_semi")
+    s = p.select("economy", "doc_id", number("article_section").alias("n")).distinct()
+    cited = table(spark, d, "ref_row").select("economy", F.explode("sections").alias("x")).select("economy", number("x").alias("n")).distinct()
+    near = s.join(cited, ["economy", "n"], "left_semi").select("doc_id", F.explode(F.array(*(F.col("n") + i for i in (-2, -1, 1, 2)))).alias("n")).distinct()
+    return s.select("doc_id", "n").distinct().join(near, ["doc_id", "n"], "left_semi")
 
 
 @query(

@@ -78,3 +78,23 @@ def stream_polite_waits(spark, d):
     """Waits follow from all earlier ones of a host, which plain SQL does not express; a test holds them against a loop."""
     out = E.collect_stream(E.earliest_starts(E.read_events(spark, d)))
     return out.groupBy("user_id").agg(F.count("*").alias("requests"), F.round(F.max("wait"), 3).alias("longest_wait"))
+
+
+STAGES = ("view", "click", "signup", "purchase")  # how far an event brings its user
+
+
+@query("SELECT user_id, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) AS stage FROM events GROUP BY 1")
+def stream_stage_fold(spark, d):
+    """How far each user has come, from events in six batches; late ones never take a stage back."""
+    stage = F.lit(0)
+    for i, name in enumerate(STAGES):
+        stage = F.when(F.col("event_type") == name, i + 1).otherwise(stage)
+    out = E.collect_stream(E.arriving(spark, d, BATCHES, LATE).groupBy("user_id").agg(F.max(stage).alias("stage")), "update")
+    return out.groupBy("user_id").agg(F.max("stage").alias("stage"))
+
+
+@query("SELECT user_id, count(DISTINCT time_bucket(INTERVAL 1 HOUR, ts)) AS reads FROM events GROUP BY 1")
+def stream_rule_reads(spark, d):
+    """How often each host's rules are read anew, being kept for the hour: once for each hour with a request, however late requests come."""
+    e = E.arriving(spark, d, BATCHES, 6).withColumn("hour_", F.date_trunc("hour", "ts"))
+    return E.collect_stream(E.first_within(e, ["user_id", "hour_"], "12 hours")).groupBy("user_id").agg(F.count("*").alias("reads"))

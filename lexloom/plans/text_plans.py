@@ -217,22 +217,31 @@ def snippet_relevance(spark, d):
     return r.select("label_id", F.when(F.size("v") == 0, 0.0).otherwise(F.round(F.size(F.filter("v", lambda w: F.contains(F.lower("impact"), w))) / F.size("v"), 4)).alias("relevance"))
 
 
+#: Pages with their text: of html, else of a body that is UTF-8; of other bodies it is null.
+PAGES_SQL = "(SELECT fetch_id, coalesce(html, TRY(decode(body))) AS html FROM fetched_page)"
+
+
+def page_texts(spark, d):
+    body = F.col("body").cast("string")
+    return table(spark, d, "fetched_page").select("fetch_id", F.coalesce("html", F.when(F.is_valid_utf8(body), body)).alias("html"))
+
+
 HTML_SQL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
   '(?is)<!--.*?-->|<(?:script|style|head|nav|header|footer|aside|noscript)\b.*?</(?:script|style|head|nav|header|footer|aside|noscript)\s*>', ' ', 'g'),
   '(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|ul|ol|table)\s*>', chr(10), 'g'), '<[^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'))"""
 
 
-@query(f"SELECT fetch_id, md5({HTML_SQL}) AS text_md5, length({HTML_SQL}) AS chars FROM fetched_page WHERE html IS NOT NULL")
+@query(f"SELECT fetch_id, md5({HTML_SQL}) AS text_md5, length({HTML_SQL}) AS chars FROM {PAGES_SQL}")
 def html_to_text_regex(spark, d):
     t = T.html_to_text(F.col("html"))
-    return table(spark, d, "fetched_page").where("html is not null").select("fetch_id", F.md5(t).alias("text_md5"), F.length(t).alias("chars"))
+    return page_texts(spark, d).select("fetch_id", F.md5(t).alias("text_md5"), F.length(t).alias("chars"))
 
 
 @query(
-    r"""SELECT fetch_id, (contains(lower(html), 'id="root"') OR contains(lower(html), '<noscript>')) AND NOT regexp_matches(lower(regexp_replace(html, '(?is)<(?:script|noscript)\b.*?</(?:script|noscript)\s*>', '', 'g')), '<(?:h[1-6]|p|li|td)[ >]') AS shell FROM fetched_page WHERE html IS NOT NULL"""
+    r"""SELECT fetch_id, (contains(lower(html), 'id="root"') OR contains(lower(html), '<noscript>')) AND NOT regexp_matches(lower(regexp_replace(html, '(?is)<(?:script|noscript)\b.*?</(?:script|noscript)\s*>', '', 'g')), '<(?:h[1-6]|p|li|td)[ >]') AS shell FROM """ + PAGES_SQL
 )
 def js_shell_filter(spark, d):
-    return table(spark, d, "fetched_page").where("html is not null").select("fetch_id", T.is_script_shell(F.col("html")).alias("shell"))
+    return page_texts(spark, d).select("fetch_id", T.is_script_shell(F.col("html")).alias("shell"))
 
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND NOT (regexp_matches(substring(lower(text), 1, 600), '404|not found|access denied|service unavailable|page does not exist') AND length(text) < 4000)")
@@ -241,10 +250,10 @@ def error_page_filter(spark, d):
 
 
 @query(
-    r"""SELECT fetch_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?m)^#{1,6}[ \t]+|[ \t]+#+$', '', 'g'), '\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '\*\*|__|`', '', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g')) AS plain_md5 FROM fetched_page WHERE html IS NOT NULL"""
+    r"""SELECT fetch_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?m)^#{1,6}[ \t]+|[ \t]+#+$', '', 'g'), '\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '\*\*|__|`', '', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g')) AS plain_md5 FROM """ + PAGES_SQL
 )
 def markdown_to_plain(spark, d):
-    return table(spark, d, "fetched_page").where("html is not null").select("fetch_id", F.md5(T.markdown_to_plain(F.col("html"))).alias("plain_md5"))
+    return page_texts(spark, d).select("fetch_id", F.md5(T.markdown_to_plain(F.col("html"))).alias("plain_md5"))
 
 
 @query("SELECT doc_id, economy || substring(sha1(source_url), 1, 10) AS doc_key, substring(sha256(coalesce(text, '')), 1, 20) AS content_key FROM documents")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
+import os
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -63,23 +68,38 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
 
 
 class _CatalogueReader(DataSourceReader):
+    """Pages are stretches of bytes (`page_bytes`), or of so many records (`page_size`), for which the driver looks once
+    where records begin; a task reads its own stretch only, up to the end of the line it ends in."""
+
     def __init__(self, options: dict):
-        self.path, self.size = options["path"], int(options.get("page_size", "100"))
-        with open(self.path, encoding="utf-8") as f:
-            self.total = sum(1 for line in f if line.strip())
+        self.path, self.size, self.records = options["path"], int(options.get("page_bytes", str(8 << 20))), int(options.get("page_size", "0"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(max(1, -(-self.total // self.size)))]
+        total = os.path.getsize(self.path)
+        starts = list(range(0, max(total, 1), self.size))
+        if self.records:
+            starts, at, n = [0], 0, 0
+            with open(self.path, "rb") as f:
+                for line in f:
+                    if line.strip():
+                        if n and n % self.records == 0:
+                            starts.append(at)
+                        n += 1
+                    at += len(line)
+        return [_Page(a, b) for a, b in zip(starts, [*starts[1:], total])]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as f:
-            for i, line in enumerate(x for x in f if x.strip()):
-                if partition.number * self.size <= i < (partition.number + 1) * self.size:
+        with open(self.path, "rb") as f:
+            f.seek(max(0, partition.start - 1))
+            if partition.start:
+                f.readline()  # the line that began before belongs to the page before
+            while f.tell() < partition.end and (line := f.readline()):
+                if line.strip():
                     r = json.loads(line)
                     yield r.get("id"), r.get("title"), r.get("url"), bool(r.get("in_force", True))
 
@@ -143,3 +163,48 @@ def decide(pages: DataFrame, rules: DataFrame, readable: DataFrame, exceptions:
     allowed = F.when(F.col("readable"), may).otherwise(F.coalesce("excepted", F.lit(False)))
     reason = F.when(F.col("readable"), F.when(may, "").otherwise("disallowed")).when(F.col("excepted"), "exception").otherwise("unreadable")
     return known.select("url", allowed.alias("allowed"), reason.alias("reason"))
+
+
+_CELL = re.compile(r"([A-Z]+)([0-9]+)")
+
+
+def _workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row, cells) of a workbook in the open XML format, numbers and texts as text, gaps as null."""
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"):
+            at = targets[sheet.get(f"{rel}id")].lstrip("/")
+            for row in ElementTree.fromstring(z.read(at if at.startswith("xl/") else f"xl/{at}")).iter(f"{main}row"):
+                cells: list[str | None] = []
+                for c in row.iter(f"{main}c"):
+                    column = 0
+                    for letter in _CELL.match(c.get("r"))[1]:
+                        column = column * 26 + ord(letter) - 64
+                    cells += [None] * (column - 1 - len(cells))
+                    v = c.find(f"{main}v")
+                    if c.get("t") == "s" and v is not None:
+                        cells.append(shared[int(v.text)])
+                    elif c.get("t") == "inlineStr":
+                        cells.append("".join(t.text or "" for t in c.iter(f"{main}t")))
+                    else:
+                        cells.append(v.text if v is not None else None)
+                yield sheet.get("name"), int(row.get("r")), cells
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row, cells ARRAY<STRING>) of the workbooks at a path; a file that can't be read gives a row with a null sheet."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for name, content in zip(f["path"], f["content"]):
+                try:
+                    out += [(name, *r) for r in _workbook(bytes(content))]
+                except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+                    out.append((name, None, None, None))
+            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"]).astype({"row": "Int32"})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
