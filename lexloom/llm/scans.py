@@ -103,7 +103,7 @@ def line_features(pages: list[str | None], paged: bool) -> list[tuple[int, int,
             again = folds[fold[x]] >= 2 and s[-1] != "."
             bare = _SIDE_NUMBER.sub("", s)
             open_end = not ended and not lower and s[-1] not in CUT + ","
-            if len(s) <= 60 and PAGE_NUMBER.match(s):
+            if PAGE_NUMBER.match(s):
                 form = "number"
             elif bare == s and NUMBERED.match(bare):
                 form = "item"
@@ -282,7 +282,7 @@ def train(featured: DataFrame, rounds: int = 12, trust: float = 100.0, least_gai
 
     Each round is one forward-backward pass over all pages; only sums leave the executors, a row of one size for each
     task whatever the number of pages. Rounds end when the mean log likelihood of a line gains less than `least_gain`,
-    or after `rounds`.
+    or after `rounds`: what is gained after that is gained by giving states other meanings than the seeds gave them.
     """
     src = featured.select("p", "symbol", "seed")
     model: Model | None = None  # at first there are only the seeds
@@ -452,7 +452,8 @@ def corrections(counted: DataFrame, ratio: float = 4.0) -> DataFrame:
     """(word, right, at): misread words and what they are, from counts of words (word, n) over the whole corpus.
 
     Each word's `candidates` meet the words in an equi-join; nothing is compared in pairs. It is a misreading if a
-    candidate is a word at least `ratio` times as frequent, and the most frequent of its kind.
+    candidate is a word at least `ratio` times as frequent, and the most frequent of its kind. Words of two letters are
+    not tried: one changed letter of two leaves nothing to know them by.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,6 +27,15 @@ def p6_pieces(spark, d):
     return _oversized(spark, d).select("source", "item_id", F.explode("pieces").alias("p")).select("source", "item_id", "p.*").distinct()
 
 
+def p6_whole(spark, d):
+    """Every oversized item put together again from its pieces: its length, a digest, the longest piece, and whether each piece begins with the end of the one before."""
+    p = _oversized(spark, d).where("item_id is not null")
+    new = F.array_join(F.transform("pieces", lambda x: F.substring(x["text"], x["new_from"] - x["start"] + 1, F.lit(1 << 30))), "")
+    longest = F.array_max(F.transform("pieces", lambda x: F.length(x["text"])))
+    overlaps = F.forall("pieces", lambda x: (x["piece"] == 0) | (x["new_from"] - x["start"] == 200))
+    return p.select("source", "item_id", F.length(new).alias("chars"), F.md5(new).alias("text_md5"), (longest <= 3000).alias("fits"), overlaps.alias("overlaps")).distinct()
+
+
 def p7_found(spark, d):
     """Noisy lines of scanned texts by kind."""
     return line_findings(table(spark, d, "ocr_result"), "ocr_id")
@@ -47,12 +56,15 @@ def p10_shapes(spark, d):
     return shape_groups(shape_pages(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found, "p10_shapes": p10_shapes}
-P6_SQL = r"""
+QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_whole": p6_whole, "p10_found": p10_found, "p10_shapes": p10_shapes}
+P6_ITEMS = r"""
 WITH j AS (SELECT DISTINCT provision_id, prov_json FROM provisions WHERE prov_json IS NOT NULL AND json_valid(prov_json)),
 o AS (SELECT provision_id, CASE json_type(prov_json) WHEN 'OBJECT' THEN prov_json WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(prov_json, '$')) THEN json_extract_string(prov_json, '$') END END AS rec FROM j),
-t AS (SELECT 'body' AS source, body_path AS item_id, body AS text FROM body_file UNION ALL SELECT 'provision', provision_id, json_extract_string(rec, '$.verbatim_snippet') FROM o WHERE rec IS NOT NULL AND provision_id IS NOT NULL)
+t AS (SELECT 'body' AS source, body_path AS item_id, body AS text FROM body_file UNION ALL SELECT 'provision', provision_id, json_extract_string(rec, '$.verbatim_snippet') FROM o WHERE rec IS NOT NULL AND provision_id IS NOT NULL)"""
+P6_SQL = P6_ITEMS + r"""
 SELECT source, item_id, CAST(max(CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\v\f\x{85}\x{2028}\x{2029}]|[.!?]+\s|[。！？]+'), lambda s: length(s))) > 3000 THEN 1 ELSE 0 END) AS INT) AS forced FROM t WHERE length(text) > 3000 GROUP BY 1, 2
 """
 
-ORACLE: dict[str, str] = {"p6_found": P6_SQL}
+P6_WHOLE_SQL = P6_ITEMS + " SELECT DISTINCT source, item_id, length(text) AS chars, md5(text) AS text_md5, true AS fits, true AS overlaps FROM t WHERE length(text) > 3000 AND item_id IS NOT NULL"
+
+ORACLE: dict[str, str] = {"p6_found": P6_SQL, "p6_whole": P6_WHOLE_SQL}
