@@ -28,11 +28,11 @@ def p6_pieces(spark, d):
 
 
 def p6_whole(spark, d):
-    """Every oversized item put together again from its pieces: its length, a digest, the longest piece, and whether each piece begins with the end of the one before."""
+    """Every oversized item put together again from its pieces: its length, a digest, the longest piece, and whether each piece begins with the last 200 characters before it."""
     p = _oversized(spark, d).where("item_id is not null")
     new = F.array_join(F.transform("pieces", lambda x: F.substring(x["text"], x["new_from"] - x["start"] + 1, F.lit(1 << 30))), "")
     longest = F.array_max(F.transform("pieces", lambda x: F.length(x["text"])))
-    overlaps = F.forall("pieces", lambda x: (x["piece"] == 0) | (x["new_from"] - x["start"] == 200))
+    overlaps = F.forall("pieces", lambda x: x["start"] == F.greatest(F.lit(0), x["new_from"] - 200))
     return p.select("source", "item_id", F.length(new).alias("chars"), F.md5(new).alias("text_md5"), (longest <= 3000).alias("fits"), overlaps.alias("overlaps")).distinct()
 
 
