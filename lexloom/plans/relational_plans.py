@@ -167,6 +167,32 @@ def baseline_tag(spark, d):
     return j.select("ref_id", F.when(F.col("any").isNull() | ~F.col("s"), "NEW").when(F.col("hit"), "KNOWN").otherwise("NEW_SECTION").alias("tag"))
 
 
+_ENTRY_SQL = f"SELECT label_id || '#' || pos AS eid, economy || '|' || indicator_id AS k, {NAME_TOKENS_SQL.format(c='law')} AS w, list_distinct(flatten(list_transform(coalesce(sections, []), lambda s: {SPINE_SQL.format(c='s')}))) AS spine FROM (SELECT DISTINCT label_id, economy, indicator_id, sections, unnest(laws) AS law, unnest(range(len(laws))) AS pos FROM label_row WHERE laws IS NOT NULL) x WHERE law IS NOT NULL AND economy IS NOT NULL AND indicator_id IS NOT NULL"
+_ROW_SQL = f"SELECT ref_id, economy || '|' || indicator_id AS k, {NAME_TOKENS_SQL.format(c='law_name')} AS w, list_distinct(flatten(list_transform(coalesce(sections, []), lambda s: {SPINE_SQL.format(c='s')}))) AS spine FROM ref_row WHERE law_name IS NOT NULL AND economy IS NOT NULL AND indicator_id IS NOT NULL"
+
+
+@query(
+    f"""WITH r AS ({_ROW_SQL}), e AS ({_ENTRY_SQL}), p AS (SELECT r.ref_id, r.spine AS a, e.spine AS b FROM r JOIN e ON r.k = e.k WHERE len(r.w) > 0 AND len(e.w) > 0 AND len(list_intersect(r.w, e.w)) >= 0.75 * least(len(r.w), len(e.w))),
+    g AS (SELECT ref_id, bool_or(list_has_any(a, b)) AS cited, bool_or(len(b) > 0) AS named FROM p GROUP BY 1)
+    SELECT r.ref_id, CASE WHEN g.ref_id IS NULL THEN 'NEW' WHEN cited THEN 'KNOWN' WHEN named THEN 'NEW_ARTICLE' ELSE 'KNOWN_LAW' END AS outcome FROM r LEFT JOIN g ON r.ref_id = g.ref_id"""
+)
+def baseline_outcomes(spark, d):
+    """What the key knows of each reference row: nothing of its law, its article, its law at other articles, or its law without an article.
+
+    Laws are the same if they share three quarters of the shorter one's words within economy and indicator.
+    """
+    spine = F.array_distinct(F.flatten(F.transform(F.coalesce("sections", F.array().cast("array<string>")), T.article_spine)))
+    key = F.concat("economy", F.lit("|"), "indicator_id")
+    r = table(spark, d, "ref_row").where("law_name is not null and economy is not null and indicator_id is not null").select("ref_id", key.alias("k"), names("law_name").alias("w"), spine.alias("a"))
+    laws = table(spark, d, "label_row").where("economy is not null and indicator_id is not null").select("label_id", key.alias("k"), spine.alias("b"), F.posexplode("laws").alias("pos", "law")).where("law is not null").distinct()
+    e = laws.select(F.concat_ws("#", "label_id", "pos").alias("eid"), "k", names("law").alias("w"), "b").dropDuplicates(["k", "eid", "w", "b"])
+    one = e.groupBy("k", "w", "b").agg(F.min("eid").alias("eid"))  # entries that say the same count once
+    pairs = L.overlap_pairs(r, one, "k", "ref_id", "eid", "w", 0.75).select("ref_id", "k", "eid").distinct()
+    j = pairs.join(r.select("ref_id", "a"), "ref_id").join(one.select("k", "eid", "b"), ["k", "eid"])
+    g = j.groupBy("ref_id").agg(F.bool_or(F.arrays_overlap("a", "b")).alias("cited"), F.bool_or(F.size("b") > 0).alias("named"))
+    return r.join(g, "ref_id", "left").select("ref_id", F.when(F.col("named").isNull(), "NEW").when(F.col("cited"), "KNOWN").when(F.col("named"), "NEW_ARTICLE").otherwise("KNOWN_LAW").alias("outcome"))
+
+
 # ---- duplicates and sets ------------------------------------------------------------------------------------------
 
 

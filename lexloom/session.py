@@ -66,6 +66,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def small_batches(batches, rows: int = 256):
+    """Arrow batches cut into pieces of at most so many rows, so that what Python makes of a batch of long texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows) or [0]:
+            yield b.slice(at, rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of few files dealt out to all cores before costly work on its rows; a scan with a task for each core stays as it is.
 
