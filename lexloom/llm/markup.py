@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import materialize, spread
+from lexloom.session import materialize, small_batches, spread
 
 KINDS = ("heading", "list_item", "code", "formula")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
@@ -584,7 +584,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.bool_()), pa.list_(pa.int64())]
         names = ["host", "page", "subject", "markup", "kind", "level", "said", "at", "site", "tokens"]
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for host, page, body, about in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
                 text = page if page is not None else decode(body, about)

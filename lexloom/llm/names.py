@@ -227,7 +227,7 @@ def link_names(mentions: DataFrame, catalogue: DataFrame, top: int = 24, least:
 
     `mentions` has scope and name; `catalogue` has id, scope, title, aliases ARRAY<STRING> and number. Three steps:
 
-    1. Candidates of a name are the `top` catalogue names of the highest cosine of weighted character n-grams within the
+    1. A name in the very words, year and number of one title is read as that title. Candidates of any other name are the `top` catalogue names of the highest cosine of weighted character n-grams within the
        scope, at least `least`; nothing but an equi-join on n-grams finds them.
     2. Each candidate's soft cosine (`soft_cosine`) must reach `same` and its year must agree; the name is read in the
        words of the best one. A name that fits several equally well is read as none. Capitals alone ("SSSR (1976)") are
@@ -244,7 +244,10 @@ def link_names(mentions: DataFrame, catalogue: DataFrame, top: int = 24, least:
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             names = [Name(x, simpler) for x in f["name"]]
-            yield pd.DataFrame({"scope": f["scope"], "name": f["name"], "terms": [terms(x) for x in names], "grams": [[f"={x.initials}"] if x.initials else grams(x.words) for x in names]})
+            yield pd.DataFrame({
+                "scope": f["scope"], "name": f["name"], "terms": [terms(x) for x in names], "words": [sorted(x.words) for x in names], "year": [None if x.initials else x.year for x in names],
+                "number": [x.number for x in names], "grams": [[f"={x.initials}"] if x.initials else grams(x.words) for x in names],
+            })
 
     def parse_catalogue(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -259,9 +262,15 @@ def link_names(mentions: DataFrame, catalogue: DataFrame, top: int = 24, least:
                     out.append((scope, f"{key}\x02{a}", key, a, title, terms(y), [], 0, grams(y.words)))
             yield pd.DataFrame(out, columns=["scope", "r", "id", "title", "main", "terms", "words", "year", "grams"])
 
-    typed = materialize(own.mapInPandas(parse, "scope string, name string, terms array<string>, grams array<string>"), "names")
+    named = materialize(own.mapInPandas(parse, "scope string, name string, terms array<string>, words array<string>, year int, number string, grams array<string>"), "names")
     entry = "scope string, r string, id string, title string, main string, terms array<string>, words array<string>, year int, grams array<string>"
     entries = materialize(catalogue.where("scope is not null and title is not null").select("scope", "id", "title", "aliases").mapInPandas(parse_catalogue, entry), "titles")
+    # a name in the very words, year and number of one title has cosine 1 with it and with no other: it needs no search
+    digits = F.regexp_replace(F.coalesce("number", F.lit("")), "[^0-9]", "")
+    main = entries.where("size(words) > 0 and year > 0").join(catalogue.select("id", digits.alias("digits")), "id")
+    alone = main.groupBy("scope", F.sort_array("words").alias("words"), "year").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"), F.min("digits").alias("digits"), F.first("grams").alias("grams")).where("n = 1").drop("n")
+    exact = named.drop("grams").join(alone, ["scope", "words", "year"]).where("number is null or number = digits").select("scope", "name", "id", F.lit(1.0).alias("score"), "words", "year", "grams")
+    typed = named.join(exact.select("scope", "name"), ["scope", "name"], "left_anti")
     size = entries.groupBy("scope").agg(F.count("*").alias("all"))
     df = entries.select("scope", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("scope", "gram").agg(F.count("*").alias("df"))
     idf = df.join(size, "scope").select("scope", "gram", (F.log((F.col("all") + 1) / F.col("df")) + 0.1).alias("idf"))
@@ -317,7 +326,7 @@ def link_names(mentions: DataFrame, catalogue: DataFrame, top: int = 24, least:
             yield pd.DataFrame(out, columns=["scope", "name", "id", "score", "words", "year", "grams"])
 
     grouped = pairs.groupBy("scope", "l").agg(F.collect_list(F.struct("id", "r", "title", "main", "number")).alias("cands"))  # at most `top` each
-    read = materialize(grouped.join(known, ["scope", "l"], "left").mapInPandas(judge, LINK), "read")
+    read = materialize(grouped.join(known, ["scope", "l"], "left").mapInPandas(judge, LINK).unionByName(exact), "read")
     form = F.concat(F.col("year").cast("string"), F.lit(" "), F.array_join(F.sort_array("words"), " "))
     titles = entries.where("size(words) > 0").select("scope", "id", form.alias("form"), "year", "grams")
     names = read.select("scope", "name", "id", "score", form.alias("form"), "year", "grams")

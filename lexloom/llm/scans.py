@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.session import materialize, spread
+from lexloom.session import materialize, small_batches, spread
 
 #: States of a line: running head or foot, page number, start of a paragraph or heading, its continuation, blank.
 STATES = ("head", "number", "start", "more", "blank")
@@ -258,7 +258,7 @@ def featured_lines(scans: DataFrame, id_col: str) -> DataFrame:
     kind = scans.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             cols: dict[str, list] = {c: [] for c in FEATURED}
             for pages, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 numbers, texts, paged = _pages(pages, text)
@@ -371,7 +371,7 @@ def read_lines(featured: DataFrame, id_col: str, model: Model) -> DataFrame:
     cut_type = pa.struct([("mark", pa.string()), ("left", pa.string()), ("right", pa.string()), ("at", pa.int32()), ("page", pa.int32()), ("line_no", pa.int32()), ("lead", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             p, page, n, symbols = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3, 5))
             texts = b.column(4).flatten().to_pylist()
             states = viterbi(_sequences(b.column(1), p), symbols, model)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import materialize, spread
+from lexloom.session import materialize, small_batches, spread
 
 URL = re.compile(r"https?://\S+|(?<![\w.])[^\W\d_A-Z][\w-]*+\.(?:[^\W\d_A-Z][\w-]*\.)*[a-z]{2,}(?:/\S*)?(?![\w.])")
 DOT = re.compile(r"\.[a-z]{2}")  # every link without a scheme has it
@@ -154,7 +154,7 @@ def shape_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         struct = pa.list_(pa.struct([("shape", pa.string()), ("form", pa.string()), ("segments", pa.int32()), ("chars", pa.int32())]))
-        for b in batches:
+        for b in small_batches(batches, 1024):
             shares, sentences, shapes = [], [], []
             for t in b.column(1).to_pylist():
                 share, found = page_shapes(t)
