@@ -181,11 +181,18 @@ def baseline_outcomes(spark, d):
 
     Laws are the same if they share three quarters of the shorter one's words within economy and indicator.
     """
-    spine = F.array_distinct(F.flatten(F.transform(F.coalesce("sections", F.array().cast("array<string>")), T.article_spine)))
     key = F.concat("economy", F.lit("|"), "indicator_id")
-    r = table(spark, d, "ref_row").where("law_name is not null and economy is not null and indicator_id is not null").select("ref_id", key.alias("k"), names("law_name").alias("w"), spine.alias("a"))
-    laws = table(spark, d, "label_row").where("economy is not null and indicator_id is not null").select("label_id", key.alias("k"), spine.alias("b"), F.posexplode("laws").alias("pos", "law")).where("law is not null").distinct()
-    e = laws.select(F.concat_ws("#", "label_id", "pos").alias("eid"), "k", names("law").alias("w"), "b").dropDuplicates(["k", "eid", "w", "b"])
+
+    def spines(rows, ident):
+        n = rows.select(ident, F.explode("sections").alias("s")).select(ident, F.explode(T.article_spine(F.col("s"))).alias("n"))
+        return n.groupBy(ident).agg(F.sort_array(F.collect_set("n")).alias("spine"))
+
+    none = F.array().cast("array<string>")
+    refs = table(spark, d, "ref_row").where("law_name is not null and economy is not null and indicator_id is not null")
+    r = refs.join(spines(refs, "ref_id"), "ref_id", "left").select("ref_id", key.alias("k"), names("law_name").alias("w"), F.coalesce("spine", none).alias("a"))
+    labels = table(spark, d, "label_row").where("economy is not null and indicator_id is not null").select("label_id", "economy", "indicator_id", "laws", "sections").distinct()
+    laws = labels.join(spines(labels, "label_id"), "label_id", "left").select("label_id", key.alias("k"), F.coalesce("spine", none).alias("b"), F.posexplode("laws").alias("pos", "law")).where("law is not null")
+    e = laws.select(F.concat_ws("#", "label_id", "pos").alias("eid"), "k", names("law").alias("w"), "b")
     one = e.groupBy("k", "w", "b").agg(F.min("eid").alias("eid"))  # entries that say the same count once
     pairs = L.overlap_pairs(r, one, "k", "ref_id", "eid", "w", 0.75).select("ref_id", "k", "eid").distinct()
     j = pairs.join(r.select("ref_id", "a"), "ref_id").join(one.select("k", "eid", "b"), ["k", "eid"])
