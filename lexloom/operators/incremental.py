@@ -16,6 +16,7 @@ import json
 import time
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +90,11 @@ def replay_ledger(writes: DataFrame, runs: DataFrame, landed: str = "landed_at",
             calendar.append((d, day.get(d, []), after))
             after = day[d][0] if d in day else after
     item = "struct<at: timestamp_ntz, run: string, done_at: timestamp_ntz, token: int, leases: int>"
-    days = spark.createDataFrame(calendar, f"_day date, _items array<{item}>, _after {item}")
+    # as an Arrow table its size is known, so a log that is small enough is broadcast without a shuffle first
+    stamp = pa.timestamp("us")
+    arrow = pa.struct([("at", stamp), ("run", pa.string()), ("done_at", stamp), ("token", pa.int32()), ("leases", pa.int32())])
+    rows_ = pa.Table.from_pylist([{"_day": x, "_items": y, "_after": z} for x, y, z in calendar], pa.schema([("_day", pa.date32()), ("_items", pa.list_(arrow)), ("_after", arrow)]))
+    days = spark.createDataFrame(rows_, f"_day date, _items array<{item}>, _after {item}")
     at = F.col(f"`{landed}`").cast("timestamp_ntz")
     first = F.lit(items[0]["at"].date() if items else None).cast("date")
     mine = F.element_at(F.filter("_items", lambda r: r["at"] >= at), 1)
