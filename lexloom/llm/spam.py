@@ -33,6 +33,8 @@ HAN = re.compile("[㐀-鿿]")
 REAL = ("sentence", "entry")
 #: The end of the shapes of keywords that their page does not repeat.
 UNREPEATED = ", none repeat"
+#: Characters of sentences that every shape is granted before its company is judged.
+DOUBT = 100
 
 
 def words(text: str) -> list[str]:
@@ -181,15 +183,16 @@ def shape_groups(pages: DataFrame) -> DataFrame:
     return groups.select("form", "shape", "pages", "segments", "chars", (F.col("beside") / F.col("chars")).alias("company"))
 
 
-def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6, company: float = 0.3) -> DataFrame:
+def spam_pages(docs: DataFrame, id_col: str, text_col: str, share: float = 0.5, few: int = 6, company: float = 0.5) -> DataFrame:
     """(id, share): pages of which the largest `few` non-sentence shapes hold more than `share` of the characters.
 
-    Non-sentence are the shapes that are neither sentences, entries nor words said once, and whose company over the whole corpus is under
-    `company`. Whole texts, every page; duplicated texts are judged alike. The groups reach the pages as one small array.
+    Non-sentence are the shapes that are neither sentences nor entries and whose company over the whole corpus is under
+    `company`, DOUBT characters of sentences being added to each: of a shape that hardly occurs nothing is said. Whole
+    texts, every page; duplicated texts are judged alike. The groups reach the pages as one small array.
     """
     pages = materialize(shape_pages(docs, id_col, text_col), "p10-shapes")
-    lone = F.col("shape").endswith(UNREPEATED)
-    odd = shape_groups(pages).where(~F.col("form").isin(*REAL) & ~lone & (F.col("company") < company)).agg(F.collect_set(F.concat_ws(": ", "form", "shape")).alias("odd"))
+    known = (F.col("company") * F.col("chars") + DOUBT) / (F.col("chars") + DOUBT)
+    odd = shape_groups(pages).where(~F.col("form").isin(*REAL) & (known < company)).agg(F.collect_set(F.concat_ws(": ", "form", "shape")).alias("odd"))
     seen = pages.withColumn("odd", odd.scalar())
     bad = F.filter("shapes", lambda s: F.array_contains("odd", F.concat_ws(": ", s["form"], s["shape"])))
     total = F.aggregate("shapes", F.lit(0), lambda a, s: a + s["chars"])
