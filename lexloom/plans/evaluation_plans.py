@@ -178,7 +178,7 @@ def depth_config_eval(q):
 @query
 def f1_per_dollar(q):
     """Reading engines by quality for money: 1 - error rate times the share of results with a text, by pages read at each engine's price; no price, no rank."""
-    return f"""WITH p AS (SELECT * FROM (VALUES ('rapid', 0.002), ('paddle', 0.004), ('azure', 0.01)) t(provider, price)), m AS (SELECT provider, count(*) AS results, sum(greatest(coalesce({q.size('pages')}, 0), 1)) AS pages, avg(1 - coalesce(cer, 1)) AS precision_, avg(CASE WHEN coalesce(text, '') <> '' THEN 1e0 ELSE 0e0 END) AS recall FROM ocr_result GROUP BY provider)
+    return f"""WITH p AS (SELECT * FROM (VALUES ('rapid', 2e-3), ('paddle', 4e-3), ('azure', 1e-2)) t(provider, price)), m AS (SELECT provider, count(*) AS results, sum(greatest(coalesce({q.size('pages')}, 0), 1)) AS pages, avg(1 - coalesce(cer, 1)) AS precision_, avg(CASE WHEN coalesce(text, '') <> '' THEN 1e0 ELSE 0e0 END) AS recall FROM ocr_result GROUP BY provider)
       SELECT m.provider, CAST(pages AS BIGINT) AS pages, round(pages * price, 6) AS cost, round(2 * precision_ * recall / (precision_ + recall), 6) AS f1, round(2 * precision_ * recall / (precision_ + recall) / (pages * price), 6) AS f1_per_dollar FROM m LEFT JOIN p ON m.provider = p.provider"""
 
 

@@ -87,7 +87,7 @@ def _segments(q) -> str:
       m AS (SELECT *, CASE {first} ELSE {q.has('line', GENERAL)} END AS a, CASE {second} ELSE {q.has('line', GENERAL)} END AS b, {q.has('line', GENERAL)} AS c, CASE {few} ELSE 1 END AS least FROM ln),
       n AS (SELECT *, sum(CASE WHEN a THEN 1 ELSE 0 END) OVER ({w}) AS na, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER ({w}) AS nb FROM m),
       o AS (SELECT *, CASE WHEN na >= least THEN a WHEN nb >= least THEN b ELSE c END AS opens, CASE WHEN na >= least THEN 'usual' WHEN nb >= least THEN 'second' ELSE 'general' END AS how FROM n),
-      s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER ({w} ORDER BY i) AS segment FROM o),
+      s AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER ({w} ORDER BY i) AS BIGINT) AS segment FROM o),
       g AS (SELECT doc_id, max(economy) AS economy, max(title) AS title, max(how) AS how, segment, {q.join(q.gather('line', 'i'), chr(10))} AS body, min_by(trim(line), i) AS label FROM s GROUP BY doc_id, segment)"""
 
 
