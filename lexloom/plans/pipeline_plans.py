@@ -150,7 +150,7 @@ def law_score_modes(q):
     """A law's score by four ways of taking its candidates: the best, the mean of three, the sum of five, and how many stand among an indicator's fifty best."""
     return """WITH o AS (SELECT indicator_id, law_name, doc_id, max(coalesce(keyword, 0) + coalesce(semantic, 0)) AS s FROM doc_rank WHERE law_name IS NOT NULL AND doc_id IS NOT NULL GROUP BY indicator_id, law_name, doc_id),
       p AS (SELECT *, row_number() OVER (PARTITION BY indicator_id, law_name ORDER BY round(s, 9) DESC, doc_id) AS k, row_number() OVER (PARTITION BY indicator_id ORDER BY round(s, 9) DESC, doc_id, law_name) AS place FROM o)
-      SELECT indicator_id, law_name, round(max(s), 4) AS best, round(avg(s) FILTER (WHERE k <= 3), 4) AS mean_top3, round(sum(s) FILTER (WHERE k <= 5), 4) AS sum_top5, count(*) FILTER (WHERE place <= 50) AS count_topk FROM p GROUP BY indicator_id, law_name"""
+      SELECT indicator_id, law_name, round(max(s), 6) AS best, round(avg(s) FILTER (WHERE k <= 3), 7) AS mean_top3, round(sum(s) FILTER (WHERE k <= 5), 6) AS sum_top5, count(*) FILTER (WHERE place <= 50) AS count_topk FROM p GROUP BY indicator_id, law_name"""
 
 
 @query
